@@ -59,7 +59,7 @@ def parse_dates(df: DataFrame, text: str, order: Column) -> DataFrame:
     with a four-digit year (null: dmy). Impossible dates or times, and texts that name no day, give null. A rest of the
     text that is no time is ignored: the day's start.
     """
-    s = F.lower(F.regexp_replace(F.col(text), r"(?U)[\s​﻿]+", " "))
+    s = F.lower(F.regexp_replace(F.col(text), r"(?U)[\s\u200b\ufeff]+", " "))
     s = F.trim(F.regexp_replace(F.trim(s), r"^(?:published|updated|posted)(?: on)?:? ", ""))
     df = df.withColumn("_s", s)
     c = F.col("_s")

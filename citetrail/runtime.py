@@ -72,4 +72,4 @@ def join_sized(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
 
 def node_key(col: str):
     """A reference id as compared: without surrounding white space (Unicode spaces included), in lower case."""
-    return F.lower(F.regexp_replace(F.col(col), r"(?U)^[\s​﻿]+|[\s​﻿]+$", ""))
+    return F.lower(F.regexp_replace(F.col(col), r"(?U)^[\s\u200b\ufeff]+|[\s\u200b\ufeff]+$", ""))
