@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citetrail.llm import body, lines
+from citetrail.llm import body, lines, sentences
 from citetrail.runtime import load
 
 
@@ -21,6 +21,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return body.main_content(load(spark, d, "crawl_corpus")).select(F.col("page_id").alias("crawl_id"), F.explode("lines").alias("line_no"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(load(spark, d, "documents")).distinct()
+
+
 _LINES_SQL = r"""
 WITH page AS (
   SELECT crawl_id, regexp_replace(lower(regexp_extract(url, '://([^/?#:]+)', 1)), '^(www|m)\.', '') AS site, string_split(markdown, chr(10)) AS ls
@@ -36,4 +40,4 @@ hot AS (
 
 SQL = {"p1_found": _LINES_SQL + "SELECT crawl_id, line_no::INT AS line_no FROM k SEMI JOIN hot USING (site, key)"}
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_cleaned, p2_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p10_found)}
