@@ -16,7 +16,13 @@ BROADCAST_ROWS = 200_000
 _written: dict[str, SparkSession] = {}
 
 
+#: Rows per Arrow batch sent to Python: pages, documents and long vectors keep a batch at some MB.
+ARROW_ROWS = 1_000
+
+
 def load(spark: SparkSession, directory: str, table: str) -> DataFrame:
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark.read.parquet(f"{directory}/{table}.parquet")
 
 
