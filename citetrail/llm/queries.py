@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citetrail.llm import body, lines, sentences
+from citetrail.llm import body, lines, names, neighbours, sentences
 from citetrail.runtime import load
 
 
@@ -21,8 +21,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return body.main_content(load(spark, d, "crawl_corpus")).select(F.col("page_id").alias("crawl_id"), F.explode("lines").alias("line_no"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(load(spark, d, "claims")).select(F.col("a").alias("claim_a"), F.col("b").alias("claim_b"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    e = names.name_pairs(names.link_names(load(spark, d, "entities"), "canonical_name", "entity_type")).withColumn("field_name", F.lit("canonical_name"))
+    p = names.name_pairs(names.link_names(load(spark, d, "source_nodes"), "publisher")).withColumn("field_name", F.lit("publisher"))
+    return e.unionByName(p).select("field_name", "name_a", "name_b")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.sentence_units(load(spark, d, "documents")).distinct()
+    return sentences.sentence_units(load(spark, d, "documents"))
 
 
 _LINES_SQL = r"""
@@ -40,4 +50,4 @@ hot AS (
 
 SQL = {"p1_found": _LINES_SQL + "SELECT crawl_id, line_no::INT AS line_no FROM k SEMI JOIN hot USING (site, key)"}
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p6_found, p7_found, p10_found)}
