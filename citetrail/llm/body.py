@@ -13,10 +13,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citetrail.llm.lines import line_keys, page_site
+from citetrail.llm.lines import EMPHASIS, SPACES, page_site
 from citetrail.runtime import BROADCAST_ROWS, materialise
 
 #: Site share at which a leaf carries no information of its page any more.
@@ -30,46 +31,79 @@ HEADING_SHARE = 0.0004
 #: Longest template of a heading, in characters.
 HEADING_CHARS = 60
 
+# How the end of a sentence looks at the end of a line.
 _END = r"[.!?…。！？।][\"”“’»›)\]*_」』]*\s*$"
+_ENDS = frozenset(".!?…。！？।")
+_AFTER_END = frozenset("\"”“’»›)]」』")
 _LINK = re.compile(r"!?\[([^\]]*)\]\([^)\s]*\)")
 _SIGNS = re.compile(r"^[\s#>*+_-]+")
 _CLOSED = re.compile(_END)
 _COMMENT = re.compile(r"^[^\W\d_][\w’'.-]{0,30} \d{1,4}: ")
 _NOTE = re.compile(r"^\s*[*_]{1,2}[^*_|]+ [–—-] [^*_|]+[*_]{1,2}\s*$")
 _WORDS = re.compile(r"[^\W_]+")
-_NUMBERS = re.compile(r"\d+")
+
+
+_DROPPED = {ord(c): None for c in SPACES + EMPHASIS if c != "\n"}
+_LIST_NUMBER = re.compile(r"^[^\S\n]*[*+>#-]*[^\S\n]*\d{1,9}[.)](?=[^\S\n])", re.M)
+_HEADED = re.compile(r"^[>+-]*#[#>+-]*(?=[^\n])", re.M)
+_SIGNED = re.compile(r"^[#>+-]+(?=[^\n])", re.M)
+_DIGITS = re.compile(r"\d+")
+
+
+def leaf_keys(text: str) -> list[str]:
+    """The lines of a text as leaves, one for each line, reduced as in `lines.line_keys`; headings begin with a mark."""
+    t = _LIST_NUMBER.sub("", text.lower()).translate(_DROPPED)
+    return _DIGITS.sub("0", _SIGNED.sub("", _HEADED.sub("\x01", t))).split("\n")
+
+
+def leaf_number(key: str) -> int:
+    """A leaf's number: 64 bits of its hash, signed as Spark's longs."""
+    return xxhash.xxh3_64_intdigest(key) - (1 << 63)
 
 
 def path_ratios(pages: DataFrame, text: str = "markdown", url: str = "url") -> DataFrame:
-    """site, key, template, lines, pages_of_site, chars, closed, headed, below: per site and leaf, the sums that ratios are made of.
+    """site, key, lines, chars, closed, headed, below, pages_of_site: per site and leaf, the sums that ratios are made of.
 
-    chars is text length, closed the lines that end a sentence, headed those marked as a heading, below those whose next
-    line ends a sentence. The template is kept for short leaves only.
+    chars is text length, closed the lines that end a sentence, headed those marked as a heading and short enough for
+    one, below those whose next line ends a sentence. Sums are made per task before rows move.
     """
-    base = pages.where(F.col(text) != "").select(
-        page_site(url).alias("site"), F.filter(F.arrays_zip(F.split(text, "\n", -1).alias("line"), line_keys(text).alias("key")), lambda x: x["key"] != "").alias("ls")
-    )
-    flags = F.transform("ls", lambda x: x["line"].rlike(_END))
-    rows = base.withColumn("ends", flags).select(
-        "site",
-        F.explode(
-            F.transform(
-                "ls",
-                lambda x, i: F.struct(
-                    F.xxhash64(x["key"]).alias("key"),
-                    F.when(F.length(x["key"]) <= HEADING_CHARS, x["key"]).alias("template"),
-                    F.length(x["key"]).alias("chars"),
-                    F.get("ends", i).cast("int").alias("closed"),
-                    F.ltrim(x["line"]).startswith("#").cast("int").alias("headed"),
-                    F.coalesce(F.get("ends", i + 1).cast("int"), F.lit(0)).alias("below"),
-                ),
-            )
-        ).alias("l"),
-    )
-    sums = rows.groupBy("site", F.col("l.key").alias("key")).agg(
-        F.any_value("l.template").alias("template"), F.count(F.lit(1)).alias("lines"), F.sum("l.chars").alias("chars"), F.sum("l.closed").alias("closed"), F.sum("l.headed").alias("headed"), F.sum("l.below").alias("below")
-    )
-    totals = pages.where(F.col(text) != "").groupBy(page_site(url).alias("site")).agg(F.count(F.lit(1)).alias("pages_of_site"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[str, str], list[int]] = {}
+
+        def flush() -> pd.DataFrame:
+            rows = [(site, leaf_number(key), *v) for (site, key), v in sums.items()]
+            sums.clear()
+            return pd.DataFrame(rows, columns=["site", "key", "lines", "chars", "closed", "headed", "below"])
+
+        for pdf in batches:
+            for site, t in zip(pdf["site"], pdf["text"], strict=True):
+                below = 0
+                for key in reversed(leaf_keys(t)):
+                    if not key:
+                        continue
+                    headed = key[0] == "\x01"
+                    if headed:
+                        key = key[1:]
+                    got = sums.get((site, key))
+                    if got is None:
+                        got = sums[site, key] = [0, 0, 0, 0, 0]
+                    closed = 1 if key[-1:] in _ENDS or key[-2:-1] in _ENDS and key[-1] in _AFTER_END else 0
+                    got[0] += 1
+                    got[1] += len(key)
+                    got[2] += closed
+                    if headed and len(key) <= HEADING_CHARS:
+                        got[3] += 1
+                    got[4] += below
+                    below = closed
+            if len(sums) > 300_000:
+                yield flush()
+        yield flush()
+
+    base = pages.where(F.col(text) != "").select(page_site(url).alias("site"), F.col(text).alias("text"))
+    rows = base.mapInPandas(count, "site string, key long, lines long, chars long, closed long, headed long, below long")
+    sums = rows.groupBy("site", "key").agg(*(F.sum(c).alias(c) for c in ("lines", "chars", "closed", "headed", "below")))
+    totals = base.groupBy("site").agg(F.count(F.lit(1)).alias("pages_of_site"))
     return sums.where("lines > 2").join(totals, "site")
 
 
@@ -90,19 +124,19 @@ def common_leaves(ratios: DataFrame) -> DataFrame:
     return low.groupBy("site").agg(F.collect_list("key").alias("leaves"))
 
 
-def heading_templates(ratios: DataFrame, n_pages: int) -> dict[str, bool]:
-    """Templates that are headings on enough pages, and whether the lines below them are content."""
-    t = ratios.where("template is not null").groupBy("template").agg(F.sum("lines").alias("n"), F.sum("headed").alias("headed"), F.sum("below").alias("below"), F.sum("closed").alias("closed"))
-    few = t.where((F.col("n") >= max(3.0, HEADING_SHARE * n_pages)) & (F.col("headed") >= 0.15 * F.col("n")) & (F.col("closed") <= 0.5 * F.col("n")))
-    return {r.template: bool(r.below >= 0.5 * r.n) for r in few.select("template", "n", "below").collect()}
+def headings(ratios: DataFrame, n_pages: int) -> tuple[list[int], list[int]]:
+    """Keys of lines that are headings on enough pages: those above content, and those above something else.
 
-
-def _template(line: str) -> str:
-    return _NUMBERS.sub("0", re.sub(r"[\s*_​﻿]+", "", _SIGNS.sub("", line)).lower())
+    At most (lines per page) / HEADING_SHARE keys can stand on that part of the pages, whatever the corpus.
+    """
+    t = ratios.groupBy("key").agg(F.sum("lines").alias("n"), F.sum("headed").alias("headed"), F.sum("below").alias("below"), F.sum("closed").alias("closed"))
+    few = t.where((F.col("n") >= max(3.0, HEADING_SHARE * n_pages)) & (F.col("headed") >= 0.15 * F.col("n")) & (F.col("closed") <= 0.5 * F.col("n")))
+    found = few.select("key", (F.col("below") >= 0.5 * F.col("n")).alias("content")).collect()
+    return [r.key for r in found if r.content], [r.key for r in found if not r.content]
 
 
-def main_lines(markdown: str, title: str | None, url: str | None, common: set[int], headings: dict[str, bool]) -> list[int]:
-    """Numbers of the lines that belong to the article. `common` has the numbers of lines the site repeats."""
+def main_lines(markdown: str, title: str | None, url: str | None, common: set[int], above: set[int], aside: set[int]) -> list[int]:
+    """Numbers of the lines that belong to the article. Given are the numbers of lines the site repeats, of headings above content, and of other headings."""
     lines = markdown.split("\n")
     info = []  # number, line, plain text, ends a sentence, only links
     for i, line in enumerate(lines):
@@ -138,8 +172,7 @@ def main_lines(markdown: str, title: str | None, url: str | None, common: set[in
             end = k
             break
         if not closed and len(p) <= 80:
-            known = headings.get(_template(s))
-            if known is False or (known is None and s[0] == "#" and k + 1 < len(info) and not info[k + 1][3] and info[k + 1][1][0] not in "|>"):
+            if i in aside or (i not in above and s[0] == "#" and k + 1 < len(info) and not info[k + 1][3] and info[k + 1][1][0] not in "|>"):
                 end = k
                 break
     keep, size, pending = [], 0, []
@@ -152,7 +185,7 @@ def main_lines(markdown: str, title: str | None, url: str | None, common: set[in
             pending = []
             keep.append(i)
             size += len(p)
-        elif not closed and len(p) <= 80 and (headings.get(_template(s)) or (s[0] == "#" and i not in common)):
+        elif not closed and len(p) <= 80 and (i in above or (s[0] == "#" and i not in common)):
             pending.append(i)
     if start is None and not whole and size < 250:
         return []
@@ -170,24 +203,28 @@ def main_content(pages: DataFrame, page_id: str = "crawl_id", text: str = "markd
     """
     ratios = materialise(path_ratios(pages, text, url))
     n_pages = pages.where(F.col(text) != "").count()
-    headings = heading_templates(ratios, n_pages)
+    above, aside = headings(ratios, n_pages)
     leaves = materialise(common_leaves(ratios))
     n_sites = leaves.count()
     base = pages.where(F.col(text) != "").select(F.col(page_id).alias("page_id"), F.col(text).alias("text"), F.col(title).alias("title"), F.col(url).alias("url"), page_site(url).alias("site"))
     # One row per site: broadcast while few, else a join whose hot sites AQE splits.
     joined = base.join(F.broadcast(leaves) if n_sites <= BROADCAST_ROWS // 100 else leaves.hint("merge"), "site", "left")
-    marked = joined.select(
-        "page_id",
-        "text",
-        "title",
-        "url",
-        F.filter(F.transform(line_keys("text"), lambda k, i: F.when(F.array_contains("leaves", F.xxhash64(k)), i)), lambda i: i.isNotNull()).alias("common"),
-    )
+    content, other = frozenset(above), frozenset(aside)
 
     def select(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common: dict[str, frozenset[int]] = {}
         for pdf in batches:
-            found = [main_lines(m, t, u, set() if c is None else set(c.tolist()), headings) for m, t, u, c in zip(pdf["text"], pdf["title"], pdf["url"], pdf["common"], strict=True)]
+            found = []
+            for t, title_, url_, site, leaves_ in zip(pdf["text"], pdf["title"], pdf["url"], pdf["site"], pdf["leaves"], strict=True):
+                known = common.get(site)
+                if known is None:
+                    if len(common) > 10_000:
+                        common.clear()
+                    known = common[site] = frozenset() if leaves_ is None else frozenset(leaves_.tolist())
+                numbers = [leaf_number(k.removeprefix("\x01")) if k else 0 for k in leaf_keys(t)]
+                marks = [{i for i, n in enumerate(numbers) if n in of} for of in (known, content, other)]
+                found.append(main_lines(t, title_, url_, *marks))
             yield pd.DataFrame({"page_id": pdf["page_id"], "lines": found})
 
     kind = dict(base.dtypes)["page_id"]
-    return marked.mapInPandas(select, f"page_id {kind}, lines array<int>")
+    return joined.select("page_id", "text", "title", "url", "site", "leaves").mapInPandas(select, f"page_id {kind}, lines array<int>")
