@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citetrail.llm import body, lines, names, neighbours, sentences
+from citetrail.llm import body, lines, mixing, names, neighbours, packing, sentences
 from citetrail.runtime import load
 
 
@@ -31,6 +31,22 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return e.unionByName(p).select("field_name", "name_a", "name_b")
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(load(spark, d, "documents"), load(spark, d, "container_specs"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(p8_packed(spark, d), load(spark, d, "container_specs"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_sources(load(spark, d, "documents"), load(spark, d, "mix_targets"))[0]
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_sources(load(spark, d, "documents"), load(spark, d, "mix_targets"))[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(load(spark, d, "documents"))
 
@@ -50,4 +66,4 @@ hot AS (
 
 SQL = {"p1_found": _LINES_SQL + "SELECT crawl_id, line_no::INT AS line_no FROM k SEMI JOIN hot USING (site, key)"}
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p6_found, p7_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p6_found, p7_found, p8_packed, p8_report, p9_mix, p9_report, p10_found)}
