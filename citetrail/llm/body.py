@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citetrail.llm.lines import EMPHASIS, SPACES, page_site
+from citetrail.llm.lines import page_site
 from citetrail.runtime import BROADCAST_ROWS, materialise
 
 #: Site share at which a leaf carries no information of its page any more.
@@ -31,34 +31,50 @@ HEADING_SHARE = 0.0004
 #: Longest template of a heading, in characters.
 HEADING_CHARS = 60
 
-# How the end of a sentence looks at the end of a line.
-_END = r"[.!?…。！？।][\"”“’»›)\]*_」』]*\s*$"
+# Signs that end a sentence, and signs that may follow them.
 _ENDS = frozenset(".!?…。！？।")
 _AFTER_END = frozenset("\"”“’»›)]」』")
 _LINK = re.compile(r"!?\[([^\]]*)\]\([^)\s]*\)")
 _SIGNS = re.compile(r"^[\s#>*+_-]+")
-_CLOSED = re.compile(_END)
 _COMMENT = re.compile(r"^[^\W\d_][\w’'.-]{0,30} \d{1,4}: ")
 _NOTE = re.compile(r"^\s*[*_]{1,2}[^*_|]+ [–—-] [^*_|]+[*_]{1,2}\s*$")
 _WORDS = re.compile(r"[^\W_]+")
 
 
-_DROPPED = {ord(c): None for c in SPACES + EMPHASIS if c != "\n"}
-_LIST_NUMBER = re.compile(r"^[^\S\n]*[*+>#-]*[^\S\n]*\d{1,9}[.)](?=[^\S\n])", re.M)
-_HEADED = re.compile(r"^[>+-]*#[#>+-]*(?=[^\n])", re.M)
-_SIGNED = re.compile(r"^[#>+-]+(?=[^\n])", re.M)
+_LIST_NUMBER = re.compile(r"[*+>#-]*\s*\d{1,9}[.)](?=\s)")
 _DIGITS = re.compile(r"\d+")
+#: Lines met lately: most lines of a site stand on many of its pages.
+_MEMO: dict[str, tuple | None] = {}
+MEMO = 50_000
 
 
-def leaf_keys(text: str) -> list[str]:
-    """The lines of a text as leaves, one for each line, reduced as in `lines.line_keys`; headings begin with a mark."""
-    t = _LIST_NUMBER.sub("", text.lower()).translate(_DROPPED)
-    return _DIGITS.sub("0", _SIGNED.sub("", _HEADED.sub("\x01", t))).split("\n")
+def read_line(line: str) -> tuple[int, int, bool, bool, str, str, bool] | None:
+    """A line as a leaf: number of its key, length, ends a sentence, marked as a heading; the line stripped, its plain text, only links. None: blank.
 
-
-def leaf_number(key: str) -> int:
-    """A leaf's number: 64 bits of its hash, signed as Spark's longs."""
-    return xxhash.xxh3_64_intdigest(key) - (1 << 63)
+    The key is the line without letter case, spacing, signs of emphasis, heading, list or quote, and with every number
+    as 0, as in `lines.line_keys`; its number is a 64-bit hash as a signed long.
+    """
+    try:
+        return _MEMO[line]
+    except KeyError:
+        pass
+    if len(_MEMO) > MEMO:
+        _MEMO.clear()
+    s = line.strip()
+    if not s:
+        _MEMO[line] = None
+        return None
+    t = s.lower()
+    if (t[0] in "*+>#-" or t[0].isdigit()) and (m := _LIST_NUMBER.match(t)):
+        t = t[m.end() :]
+    t = "".join(t.split()).replace("*", "").replace("_", "")
+    headed = t.lstrip(">+-").startswith("#")
+    t = _DIGITS.sub("0", t.lstrip("#>+-") or t)
+    links = "](" in s
+    plain = _SIGNS.sub("", _LINK.sub(r"\1", s) if links else s).rstrip("*_ ")
+    end = t[-1:] in _ENDS or t[-2:-1] in _ENDS and t[-1] in _AFTER_END
+    got = _MEMO[line] = (xxhash.xxh3_64_intdigest(t) - (1 << 63), len(t), end, headed, s, plain, links and not _WORDS.search(_LINK.sub("", s)))
+    return got
 
 
 def path_ratios(pages: DataFrame, text: str = "markdown", url: str = "url") -> DataFrame:
@@ -69,33 +85,30 @@ def path_ratios(pages: DataFrame, text: str = "markdown", url: str = "url") -> D
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple[str, str], list[int]] = {}
+        sums: dict[tuple[str, int], list[int]] = {}
 
         def flush() -> pd.DataFrame:
-            rows = [(site, leaf_number(key), *v) for (site, key), v in sums.items()]
+            rows = [(*k, *v) for k, v in sums.items()]
             sums.clear()
             return pd.DataFrame(rows, columns=["site", "key", "lines", "chars", "closed", "headed", "below"])
 
         for pdf in batches:
             for site, t in zip(pdf["site"], pdf["text"], strict=True):
                 below = 0
-                for key in reversed(leaf_keys(t)):
-                    if not key:
+                for line in reversed(t.split("\n")):
+                    leaf = read_line(line)
+                    if leaf is None:
                         continue
-                    headed = key[0] == "\x01"
-                    if headed:
-                        key = key[1:]
-                    got = sums.get((site, key))
+                    number, chars, closed, headed = leaf[:4]
+                    got = sums.get((site, number))
                     if got is None:
-                        got = sums[site, key] = [0, 0, 0, 0, 0]
-                    closed = 1 if key[-1:] in _ENDS or key[-2:-1] in _ENDS and key[-1] in _AFTER_END else 0
+                        got = sums[site, number] = [0, 0, 0, 0, 0]
                     got[0] += 1
-                    got[1] += len(key)
+                    got[1] += chars
                     got[2] += closed
-                    if headed and len(key) <= HEADING_CHARS:
-                        got[3] += 1
+                    got[3] += headed and chars <= HEADING_CHARS
                     got[4] += below
-                    below = closed
+                    below = int(closed)
             if len(sums) > 300_000:
                 yield flush()
         yield flush()
@@ -135,17 +148,13 @@ def headings(ratios: DataFrame, n_pages: int) -> tuple[list[int], list[int]]:
     return [r.key for r in found if r.content], [r.key for r in found if not r.content]
 
 
-def main_lines(markdown: str, title: str | None, url: str | None, common: set[int], above: set[int], aside: set[int]) -> list[int]:
-    """Numbers of the lines that belong to the article. Given are the numbers of lines the site repeats, of headings above content, and of other headings."""
-    lines = markdown.split("\n")
-    info = []  # number, line, plain text, ends a sentence, only links
-    for i, line in enumerate(lines):
-        s = line.strip()
-        if not s:
-            continue
-        links = "](" in s
-        plain = _SIGNS.sub("", _LINK.sub(r"\1", s) if links else s).rstrip("*_ ")
-        info.append((i, s, plain, _CLOSED.search(s) is not None, links and not _WORDS.search(_LINK.sub("", s))))
+def main_lines(markdown: str, title: str | None, url: str | None, common: frozenset[int], above: frozenset[int], aside: frozenset[int]) -> list[int]:
+    """Numbers of the lines that belong to the article. Given are the keys of lines the site repeats, of headings above content, and of other headings."""
+    info = []  # line number, line, plain text, ends a sentence, only links, key
+    for i, line in enumerate(markdown.split("\n")):
+        leaf = read_line(line)
+        if leaf is not None:
+            info.append((i, leaf[4], leaf[5], leaf[2], leaf[6], leaf[0]))
     if not info:
         return []
     wanted = " ".join(_WORDS.findall((title or "").lower()))
@@ -155,37 +164,38 @@ def main_lines(markdown: str, title: str | None, url: str | None, common: set[in
     slug_text = "-".join(slug)
 
     def headline(plain: str) -> bool:
-        if wanted and " ".join(_WORDS.findall(plain.lower())) == wanted:
+        low = plain.lower()
+        if wanted and abs(len(low) - len(wanted)) <= 8 + len(wanted) // 4 and " ".join(_WORDS.findall(low)) == wanted:
             return True
-        return len(slug_text) >= 12 and "-".join(w for w in re.split(r"[^a-z0-9]+", plain.lower()) if w).startswith(slug_text)
+        return len(slug_text) >= 12 and "-".join(w for w in re.split(r"[^a-z0-9]+", low) if w).startswith(slug_text)
 
-    start = next((k for k, (_, _, p, closed, only) in enumerate(info) if not closed and not only and len(p) < 200 and headline(p)), None)
-    whole = start is None and any(headline(p.partition(". ")[0]) for _, _, p, _, _ in info)
+    start = next((k for k, (_, _, p, closed, only, _) in enumerate(info) if not closed and not only and 3 <= len(p) < 200 and headline(p)), None)
+    whole = start is None and any(headline(p.partition(". ")[0]) for _, _, p, _, _, _ in info)
     first = start + 1 if start is not None else 0
     end = len(info)
     for k in range(first, len(info)):
-        i, s, p, closed, only = info[k]
-        if _NOTE.match(s) and not closed:
+        _, s, p, closed, only, key = info[k]
+        if s[0] in "*_" and not closed and _NOTE.match(s):
             end = k
             break
         if only and (s[0] in "-*+[") and k > first and start is not None:
             end = k
             break
         if not closed and len(p) <= 80:
-            if i in aside or (i not in above and s[0] == "#" and k + 1 < len(info) and not info[k + 1][3] and info[k + 1][1][0] not in "|>"):
+            if key in aside or (key not in above and s[0] == "#" and k + 1 < len(info) and not info[k + 1][3] and info[k + 1][1][0] not in "|>"):
                 end = k
                 break
     keep, size, pending = [], 0, []
     for k in range(first, end):
-        i, s, p, closed, only = info[k]
+        i, s, p, closed, only, key = info[k]
         if only or (_COMMENT.match(p) and closed):
             continue
-        if s[0] == "|" or ((closed or len(p) >= 120) and i not in common and len(p) >= 8):
+        if s[0] == "|" or ((closed or len(p) >= 120) and key not in common and len(p) >= 8):
             keep.extend(pending)
             pending = []
             keep.append(i)
             size += len(p)
-        elif not closed and len(p) <= 80 and (i in above or (s[0] == "#" and i not in common)):
+        elif not closed and len(p) <= 80 and (key in above or (s[0] == "#" and key not in common)):
             pending.append(i)
     if start is None and not whole and size < 250:
         return []
@@ -221,9 +231,7 @@ def main_content(pages: DataFrame, page_id: str = "crawl_id", text: str = "markd
                     if len(common) > 10_000:
                         common.clear()
                     known = common[site] = frozenset() if leaves_ is None else frozenset(leaves_.tolist())
-                numbers = [leaf_number(k.removeprefix("\x01")) if k else 0 for k in leaf_keys(t)]
-                marks = [{i for i, n in enumerate(numbers) if n in of} for of in (known, content, other)]
-                found.append(main_lines(t, title_, url_, *marks))
+                found.append(main_lines(t, title_, url_, known, content, other))
             yield pd.DataFrame({"page_id": pdf["page_id"], "lines": found})
 
     kind = dict(base.dtypes)["page_id"]
