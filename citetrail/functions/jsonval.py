@@ -121,7 +121,6 @@ def matches(raw: Column) -> Column:
 
 def link_list(links: Column, most: int = 50) -> Column:
     """The lines of a prompt that list links: each address once by its first place, with its text if it has one."""
-    hrefs = F.transform(links, lambda x: x["href"])
-    once = F.filter(links, lambda x, i: F.array_position(hrefs, x["href"]) == i + 1)
+    once = F.filter(links, lambda x, i: F.array_position(links["href"], x["href"]) == i + 1)
     line = lambda x: F.when(F.coalesce(x["text"], F.lit("")) != "", F.concat(F.lit("- "), x["href"], F.lit(' ("'), x["text"], F.lit('")'))).otherwise(F.concat(F.lit("- "), x["href"]))
     return F.array_join(F.transform(F.slice(once, 1, most), line), "\n")
