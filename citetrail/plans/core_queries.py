@@ -77,6 +77,21 @@ below AS (
   UNION SELECT b.analysis_id, b.node, e.child FROM below b JOIN e ON e.analysis_id = b.analysis_id AND e.parent = b.child)
 SELECT analysis_id, node_id, root_node_id, min(depth)::INT AS depth FROM reach GROUP BY ALL
 UNION ALL SELECT DISTINCT analysis_id, node, '(cycle)', -1 FROM below WHERE node = child
+""",
+    "p4_paths": _LINKS_SQL
+    + """
+reach AS (
+  SELECT DISTINCT analysis_id, parent AS node_id, parent AS root_node_id, 0 AS depth FROM e
+  WHERE (analysis_id, parent) NOT IN (SELECT (analysis_id, child) FROM e)
+  UNION SELECT r.analysis_id, e.child, r.root_node_id, r.depth + 1 FROM reach r JOIN e ON e.analysis_id = r.analysis_id AND e.parent = r.node_id WHERE r.depth < 200),
+least AS (SELECT analysis_id, node_id, root_node_id, min(depth) AS depth FROM reach GROUP BY ALL),
+via AS (
+  SELECT a.analysis_id, a.node_id, a.root_node_id, a.depth, min(b.node_id) AS up FROM least a JOIN e ON e.analysis_id = a.analysis_id AND e.child = a.node_id
+  JOIN least b ON b.analysis_id = a.analysis_id AND b.node_id = e.parent AND b.root_node_id = a.root_node_id AND b.depth = a.depth - 1 GROUP BY ALL),
+path AS (
+  SELECT analysis_id, node_id, root_node_id, depth, node_id AS path FROM least WHERE depth = 0
+  UNION ALL SELECT v.analysis_id, v.node_id, v.root_node_id, v.depth, p.path || '/' || v.node_id FROM path p JOIN via v ON v.analysis_id = p.analysis_id AND v.up = p.node_id AND v.root_node_id = p.root_node_id AND v.depth = p.depth + 1)
+SELECT analysis_id, node_id, root_node_id, depth::INT AS depth, path FROM path
 """,
     "p4_descendants": _LINKS_SQL
     + """

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citetrail.functions import dates, jsonval, levels, urls
-from citetrail.functions.text import claim_key, content_words
+from citetrail.functions.text import STOP_WORDS, claim_key, content_words
 from citetrail.operators import consolidate, corroboration, frontier, summary, tree
-from citetrail.plans import views
+from citetrail.plans import page_queries, views
 from citetrail.runtime import load
 
 
@@ -238,6 +238,21 @@ SQL = {
     "match_candidates": f"""{_NODE_SQL}, p AS (SELECT scope, node, row_number() OVER (PARTITION BY scope ORDER BY loaded_at, id) AS o FROM live_nodes WHERE phantom),
       r AS (SELECT scope, node, row_number() OVER (PARTITION BY scope ORDER BY loaded_at, id) AS o FROM live_nodes WHERE NOT phantom AND node <> 'article' AND source_type <> 'data-source')
       SELECT scope, phantom, real, place FROM (SELECT p.scope, p.node AS phantom, r.node AS real, row_number() OVER (PARTITION BY p.scope ORDER BY p.o, r.o) AS place FROM p JOIN r ON p.scope = r.scope) WHERE place <= 50""",
+    "candidate_parents": f"""{_NODE_SQL}, u AS (SELECT DISTINCT url FROM (SELECT url FROM source_nodes UNION ALL SELECT article_url FROM analyses) WHERE url IS NOT NULL), {page_queries.NORM_STEPS},
+      links AS (SELECT e.scope, x.url, e.target AS parent, e.loaded_at, e.id, n.norm_url FROM live_edges e JOIN live_nodes x ON x.scope = e.scope AND x.node = e.source JOIN n ON n.url = x.url),
+      fresh AS (SELECT * FROM links l WHERE NOT EXISTS (SELECT 1 FROM analyses a JOIN n m ON m.url = a.article_url WHERE a.id = l.scope AND m.norm_url = l.norm_url))
+      SELECT scope, norm_url, arg_min(url, struct_pack(a := loaded_at, b := id)) AS url, count(DISTINCT parent) AS n_parents FROM fresh GROUP BY ALL""",
+    "same_address_remap": f"""{_NODE_SQL}, u AS (SELECT DISTINCT url FROM source_nodes WHERE url IS NOT NULL), {page_queries.NORM_STEPS},
+      a AS (SELECT x.scope, x.node, min(x.node) OVER (PARTITION BY x.scope, n.norm_url) AS leader FROM live_nodes x JOIN n ON n.url = x.url), m AS (SELECT * FROM a WHERE node <> leader),
+      moved AS (SELECT e.scope, e.id AS edge_id, e.loaded_at, coalesce(s.leader, e.source) AS source, coalesce(t.leader, e.target) AS target FROM live_edges e LEFT JOIN m s ON s.scope = e.scope AND s.node = e.source LEFT JOIN m t ON t.scope = e.scope AND t.node = e.target)
+      SELECT scope, edge_id, source, target FROM (SELECT *, row_number() OVER (PARTITION BY scope, source, target ORDER BY loaded_at DESC, edge_id DESC) AS r FROM moved WHERE source <> target) WHERE r = 1""",
+    "phantom_merge_pairs": f"""{_NODE_SQL}, w AS (SELECT scope, node, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(concat_ws(' ', coalesce(title, ''), coalesce(publisher, ''))), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'),
+        lambda x: length(x) > 2 AND x NOT IN ({", ".join(f"'{x}'" for x in STOP_WORDS)}))) AS s FROM live_nodes WHERE phantom), k AS (SELECT * FROM w WHERE len(s) >= 2)
+      SELECT a.scope, a.node AS a, b.node AS b, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS jaccard
+      FROM k a JOIN k b ON a.scope = b.scope AND a.node < b.node WHERE len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.4 - 1e-12""",
+    "unverified_lists": """WITH l AS (SELECT DISTINCT id, CASE WHEN json_valid(summary_unverified_claims) THEN CASE WHEN json_type(summary_unverified_claims) = 'ARRAY'
+        THEN list_transform(list_filter(json_extract(summary_unverified_claims, '$[*]'), lambda x: json_type(x) = 'VARCHAR'), lambda x: json_extract_string(x, '$')) END END AS items FROM analyses WHERE summary_unverified_claims IS NOT NULL)
+      SELECT id, coalesce(len(items), 0)::INT AS n_items, coalesce(array_to_string(items, '|'), '') AS items FROM l""",
     "edge_dedupe_last": f"{_NODE_SQL} SELECT scope, source, target, id AS edge_id FROM live_edges",
     "noise_prune": f"""{_NODE_SQL}, {_ENDS} SELECT n.scope, n.node AS id FROM live_nodes n LEFT JOIN ends e ON e.scope = n.scope AND e.id = n.node WHERE n.node <> 'article' AND NOT coalesce(n.phantom, false)
       GROUP BY ALL HAVING NOT coalesce(bool_or(coalesce(source_fidelity >= 0.2 OR corroboration <> 'none', false)), false)""",

@@ -132,19 +132,22 @@ def near_dup_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 _URL = r"'^\s*([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^/?#@]*@)?([^/?#:\s]+)(:\d*)?([^?#]*)(\?[^#]*)?(#.*)?$'"
-_PARTS = f"""
-u AS (SELECT DISTINCT url FROM (SELECT url FROM crawl_corpus UNION ALL SELECT url FROM source_nodes) WHERE url IS NOT NULL),
+_U = "u AS (SELECT DISTINCT url FROM (SELECT url FROM crawl_corpus UNION ALL SELECT url FROM source_nodes) WHERE url IS NOT NULL)"
+_SPLIT = f"""
 p AS (SELECT url, regexp_matches(url, {_URL}) AS ok, lower(regexp_extract(url, {_URL}, 1)) AS scheme, lower(regexp_extract(url, {_URL}, 2)) AS host, regexp_extract(url, {_URL}, 3) AS port,
   CASE WHEN regexp_extract(url, {_URL}, 4) = '' THEN '/' ELSE regexp_extract(url, {_URL}, 4) END AS path, regexp_extract(url, {_URL}, 5) AS query FROM u)
 """
-_NORM = f"""
-WITH {_PARTS},
+_PARTS = f"{_U}, {_SPLIT}"
+#: CTEs from u(url) to n(url, norm_url).
+NORM_STEPS = f"""
+{_SPLIT},
 q AS (SELECT *, list_filter(string_split(ltrim(query, '?'), '&'), lambda x: x <> '' AND NOT (string_split(x, '=')[1] IN
   ('utm_source','utm_medium','utm_campaign','utm_term','utm_content','fbclid','gclid','mc_cid','mc_eid','ref','source') OR starts_with(x, 'utm_'))) AS kept FROM p),
 s AS (SELECT *, array_to_string(list_transform(list_sort(list_transform(kept, lambda x, i: {{'k': string_split(x, '=')[1], 'i': i, 'p': x}})), lambda x: x.p), '&') AS qs FROM q),
 w AS (SELECT url, ok, path, scheme || '://' || host || CASE WHEN port = ':' OR (scheme = 'http' AND port = ':80') OR (scheme = 'https' AND port = ':443') THEN '' ELSE port END || path || CASE WHEN qs <> '' THEN '?' || qs ELSE '' END AS whole FROM s),
 n AS (SELECT url, CASE WHEN NOT ok THEN url WHEN ends_with(whole, '/') AND path <> '/' THEN whole[:-2] ELSE whole END AS norm_url FROM w)
 """
+_NORM = f"WITH {_U}, {NORM_STEPS}"
 _SHINGLES = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda w: length(w) > 2) AS w FROM documents WHERE text IS NOT NULL),
 sh AS (SELECT doc_id, CASE WHEN len(w) < 5 THEN [] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM d)
@@ -196,6 +199,14 @@ SQL = {
     "text_content_words": f"""WITH w AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 AND w NOT IN ({_STOP})))) AS ws FROM documents WHERE text IS NOT NULL)
       SELECT doc_id, len(ws)::INT AS n_words, array_to_string(ws, ' ') AS words FROM w""",
     "text_shingle_count": _SHINGLES + "SELECT doc_id, len(s)::INT AS n_shingles FROM sh",
+    "chunk_documents": r"""WITH RECURSIVE p AS (SELECT doc_id, text, regexp_split_to_array(text, '\n{2,}') AS ps FROM documents WHERE text IS NOT NULL),
+      r AS (SELECT doc_id, ps, 1 AS i, ps[1] AS cur, NULL::VARCHAR AS done, 0 AS k FROM p WHERE length(text) > 8000
+        UNION ALL SELECT doc_id, ps, i + 1, CASE WHEN length(cur) + length(ps[i + 1]) > 3000 AND cur <> '' THEN right(cur, 200) || chr(10) || chr(10) || ps[i + 1] ELSE cur || CASE WHEN cur <> '' THEN chr(10) || chr(10) ELSE '' END || ps[i + 1] END,
+          CASE WHEN length(cur) + length(ps[i + 1]) > 3000 AND cur <> '' THEN cur END, k + (length(cur) + length(ps[i + 1]) > 3000 AND cur <> '')::INT FROM r WHERE i < len(ps)),
+      c AS (SELECT doc_id, 0 AS chunk, text AS t FROM p WHERE length(text) <= 8000
+        UNION ALL SELECT doc_id, k - 1, regexp_replace(done, '^[\s\x{A0}\x{FEFF}]+|[\s\x{A0}\x{FEFF}]+$', '', 'g') FROM r WHERE done IS NOT NULL
+        UNION ALL SELECT doc_id, k, regexp_replace(cur, '^[\s\x{A0}\x{FEFF}]+|[\s\x{A0}\x{FEFF}]+$', '', 'g') FROM r WHERE i = len(ps) AND trim(cur) <> '')
+      SELECT doc_id, chunk::INT AS chunk, length(t)::INT AS n_chars, md5(t) AS digest FROM c""",
     "truncate_prompt": "WITH t AS (SELECT doc_id, CASE WHEN length(text) > 6000 THEN left(text, 6000) || chr(10) || '...[truncated]' ELSE text END AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, length(t)::INT AS n_chars, md5(t) AS digest FROM t",
     "near_dup_links": _SHINGLES
     + """, st AS (SELECT list_sort(s) AS s, min(doc_id) AS id FROM sh WHERE len(s) > 0 GROUP BY 1), e AS (SELECT id, len(s) AS n, unnest(s) AS x FROM st),
