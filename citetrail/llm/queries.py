@@ -64,6 +64,23 @@ hot AS (
   GROUP BY k.site, key, n HAVING count(DISTINCT crawl_id) >= 5 AND count(DISTINCT crawl_id) >= 0.2 * n)
 """
 
-SQL = {"p1_found": _LINES_SQL + "SELECT crawl_id, line_no::INT AS line_no FROM k SEMI JOIN hot USING (site, key)"}
+#: Documents are addresses with all their fetches and the copies of their texts; several of them, on several days.
+_CLEANED_SQL = r"""
+WITH page AS (
+  SELECT crawl_id, markdown, (fetched_at AT TIME ZONE 'UTC')::DATE AS day, regexp_replace(lower(regexp_extract(url, '://([^/?#:]+)', 1)), '^(www|m)\.', '') AS site,
+    regexp_replace(lower(regexp_replace(url, '^[A-Za-z]+://(?:[Ww][Ww][Ww]\.|[Mm]\.)?', '')), '/?([?#].*)?$', '') AS address FROM crawl_corpus WHERE markdown <> ''),
+doc AS (SELECT *, min(address) OVER (PARTITION BY site, markdown) AS cluster, string_split(markdown, chr(10)) AS ls FROM page),
+line AS (SELECT crawl_id, site, cluster, day, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM doc),
+k AS (
+  SELECT crawl_id, site, cluster, day, i, line, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(line), '^\s*[*+>#-]*\s*[0-9]{1,9}[.)](\s)', '\1'),
+    '[\s\x{A0}*_]+', '', 'g'), '^[#>+-]+(.)', '\1'), '[0-9]+', '0', 'g') AS key FROM line),
+hot AS (
+  SELECT k.site, key FROM k JOIN (SELECT site, count(*) AS n FROM page GROUP BY site) s ON s.site = k.site WHERE key <> ''
+  GROUP BY k.site, key, n HAVING count(DISTINCT crawl_id) >= 5 AND count(DISTINCT crawl_id) >= 0.2 * n AND count(DISTINCT cluster) >= 5 AND count(DISTINCT day) >= 2)
+SELECT crawl_id, coalesce(string_agg(k.line, chr(10) ORDER BY i) FILTER (WHERE hot.key IS NULL), '') AS markdown, count(hot.key)::INT AS n_removed
+FROM k LEFT JOIN hot ON hot.site = k.site AND hot.key = k.key GROUP BY crawl_id
+"""
+
+SQL = {"p1_found": _LINES_SQL + "SELECT crawl_id, line_no::INT AS line_no FROM k SEMI JOIN hot USING (site, key)", "p1_cleaned": _CLEANED_SQL}
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p6_found, p7_found, p8_packed, p8_report, p9_mix, p9_report, p10_found)}
