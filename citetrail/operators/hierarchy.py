@@ -12,10 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citetrail.runtime import drop, materialise, node_key
+from citetrail.runtime import Growing, drop, materialise, node_key
 
 #: Levels joined between two written states.
-HOPS = 4
+HOPS = 2
 #: Links of one scope, after peeling, that a single task may take; larger scopes are coloured in parallel.
 TASK_LINKS = 500_000
 
@@ -32,26 +32,19 @@ def reach_from_roots(links: DataFrame, hops: int = HOPS) -> DataFrame:
     """
     links = materialise(links)
     roots = links.select("scope", F.col("parent").alias("node")).distinct().join(links.select("scope", F.col("child").alias("node")).distinct(), ["scope", "node"], "left_anti")
-    frontier = materialise(roots.select("scope", "node", F.col("node").alias("root"), F.lit(0).alias("depth")))
-    levels, depth = [frontier], 0
+    known = Growing(roots.select("scope", "node", F.col("node").alias("root"), F.lit(0).alias("depth")))
+    frontier, depth = known.read(), 0
     step = links.select("scope", F.col("parent").alias("node"), "child")
     while not frontier.isEmpty():
         found, at = None, frontier
         for h in range(1, hops + 1):
             at = at.join(step, ["scope", "node"]).select("scope", F.col("child").alias("node"), "root", F.lit(depth + h).alias("depth")).distinct()
             found = at if found is None else found.unionByName(at)
-        new = found.groupBy("scope", "node", "root").agg(F.min("depth").alias("depth"))
-        seen = levels[0]
-        for x in levels[1:]:
-            seen = seen.unionByName(x)
-        new = materialise(new.join(seen.select("scope", "node", "root"), ["scope", "node", "root"], "left_anti"))
+        key = ["scope", "node", "root"]
+        new = known.add(found.groupBy(*key).agg(F.min("depth").alias("depth")).join(known.read().select(*key), key, "left_anti"))
         depth += hops
         frontier = new.where(F.col("depth") == depth)
-        levels.append(new)
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return out
+    return known.read()
 
 
 def _peel(core: DataFrame) -> DataFrame:
@@ -189,39 +182,28 @@ def paths_from_roots(rows: DataFrame, scope: str = "analysis_id", child: str = "
     step = links.select("scope", F.col("parent").alias("up"), F.col("child").alias("node"))
     up = reach.select("scope", F.col("node").alias("up"), "root", (F.col("depth") + 1).alias("depth"))
     via = materialise(reach.join(step, ["scope", "node"]).join(up, ["scope", "up", "root", "depth"]).groupBy("scope", "node", "root", "depth").agg(F.min("up").alias("up")))
-    level = materialise(reach.where("depth = 0").select("scope", "node", "root", "depth", F.col("node").alias("path")))
-    parts, d = [level], 0
+    paths = Growing(reach.where("depth = 0").select("scope", "node", "root", "depth", F.col("node").alias("path")))
+    level, d = paths.read(), 0
     while not level.isEmpty():
         d += 1
         above = level.select("scope", F.col("node").alias("up"), "root", F.col("path").alias("above"))
-        level = materialise(via.where(F.col("depth") == d).join(above, ["scope", "up", "root"]).select("scope", "node", "root", "depth", F.concat_ws("/", "above", "node").alias("path")))
-        parts.append(level)
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+        level = paths.add(via.where(F.col("depth") == d).join(above, ["scope", "up", "root"]).select("scope", "node", "root", "depth", F.concat_ws("/", "above", "node").alias("path")))
+    return paths.read()
 
 
 def descendants(rows: DataFrame, scope: str = "analysis_id", child: str = "source_node_id", parent: str = "target_node_id", hops: int = HOPS) -> DataFrame:
     """scope, node, descendant, depth: every ancestor-descendant pair with the fewest links between them (a node on a cycle descends from itself)."""
     links = materialise(links_of(rows, scope, child, parent))
     step = links.select("scope", F.col("parent").alias("descendant"), "child")
-    pairs = [materialise(links.select("scope", F.col("parent").alias("node"), F.col("child").alias("descendant"), F.lit(1).alias("depth")))]
-    frontier, depth = pairs[0], 1
+    pairs = Growing(links.select("scope", F.col("parent").alias("node"), F.col("child").alias("descendant"), F.lit(1).alias("depth")))
+    frontier, depth = pairs.read(), 1
     while not frontier.isEmpty():
         found, at = None, frontier
         for h in range(1, hops + 1):
             at = at.join(step, ["scope", "descendant"]).select("scope", "node", F.col("child").alias("descendant"), F.lit(depth + h).alias("depth")).distinct()
             found = at if found is None else found.unionByName(at)
-        seen = pairs[0]
-        for x in pairs[1:]:
-            seen = seen.unionByName(x)
         key = ["scope", "node", "descendant"]
-        new = materialise(found.groupBy(*key).agg(F.min("depth").alias("depth")).join(seen.select(*key), key, "left_anti"))
+        new = pairs.add(found.groupBy(*key).agg(F.min("depth").alias("depth")).join(pairs.read().select(*key), key, "left_anti"))
         depth += hops
         frontier = new.where(F.col("depth") == depth)
-        pairs.append(new)
-    out = pairs[0]
-    for x in pairs[1:]:
-        out = out.unionByName(x)
-    return out
+    return pairs.read()

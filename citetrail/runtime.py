@@ -46,6 +46,23 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
+class Growing:
+    """A table that grows by parts, each written once, and is read in one scan however many there are."""
+
+    def __init__(self, first: DataFrame) -> None:
+        self.spark, self.schema, self.paths = first.sparkSession, first.schema, []
+        self.add(first)
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write a part; returns it as read back."""
+        part = materialise(df)
+        self.paths.append(part._scratch_path)
+        return part
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.paths)
+
+
 def drop(df: DataFrame | None) -> None:
     """Remove what `materialise` wrote for this frame, once nothing reads it any more."""
     path = getattr(df, "_scratch_path", None)
