@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -14,13 +15,27 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 _written: dict[str, SparkSession] = {}
+_shipped: set[str] = set()
 
 
 #: Rows per Arrow batch sent to Python: pages, documents and long vectors keep a batch at some MB.
 ARROW_ROWS = 1_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to Python workers, once per application, unless they find it by PYTHONPATH or the working directory."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    found = {os.path.abspath(p) for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)) if p}
+    app = spark.sparkContext.applicationId
+    if root in found or app in _shipped:
+        return
+    _shipped.add(app)
+    base = os.path.join(tempfile.mkdtemp(prefix="citetrail-"), "citetrail")
+    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, os.path.basename(os.path.dirname(os.path.abspath(__file__)))))
+
+
 def load(spark: SparkSession, directory: str, table: str) -> DataFrame:
+    ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark.read.parquet(f"{directory}/{table}.parquet")
