@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citetrail.functions import dates, pages, text, urls
 from citetrail.operators.consolidate import first_per_key, leaders, similar_sets
-from citetrail.runtime import load
+from citetrail.runtime import load, materialise
 
 
 def _urls(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +116,7 @@ def _shingle_sets(spark: SparkSession, d: str) -> DataFrame:
 def near_dup_links(spark: SparkSession, d: str) -> DataFrame:
     """set_doc, n_links: per different shingle set, by its least document, the number of other sets at a Jaccard of 0.8 or more."""
     rows = _shingle_sets(spark, d)
-    sets = rows.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.any_value("items").alias("items")).select(F.lit(0).alias("scope"), "id", F.col("id").alias("ord"), "items")
+    sets = materialise(rows.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.any_value("items").alias("items")).select(F.lit(0).alias("scope"), "id", F.col("id").alias("ord"), "items"))
     pairs = similar_sets(sets, 0.8)
     ends = pairs.select(F.col("a").alias("set_doc")).unionByName(pairs.select(F.col("b").alias("set_doc")))
     return ends.groupBy("set_doc").agg(F.count(F.lit(1)).alias("n_links"))
@@ -125,7 +125,7 @@ def near_dup_links(spark: SparkSession, d: str) -> DataFrame:
 def near_dup_classes(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, class_id for every document with shingles: the class is the first document greedy clustering gathers it to."""
     rows = _shingle_sets(spark, d)
-    firsts = rows.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.any_value("items").alias("items"))
+    firsts = materialise(rows.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.any_value("items").alias("items")))
     sets = firsts.select(F.lit(0).alias("scope"), "id", F.col("id").alias("ord"), "items")
     lead = leaders(sets, similar_sets(sets, 0.8)).select("id", "leader")
     return rows.select("doc_id", "set_id").join(firsts.select("set_id", "id"), "set_id").join(lead, "id").select("doc_id", F.col("leader").alias("class_id"))
