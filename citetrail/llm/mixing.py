@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citetrail.llm.tokens import VOCABULARY, token_sizes
-from citetrail.runtime import materialise
+from citetrail.runtime import join_sized, materialise
 
 #: Documents aimed at per bucket of keys.
 BUCKET_DOCS = 1_000
@@ -52,20 +52,20 @@ def mix_sources(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", tex
     Every document of a source is used `epochs` times; those the sample takes once more. In the bucket where the budget
     ends, documents are taken in the order of their keys while they fit what is left. Documents without tokens or source are never used. Rows with
     equal ids are drawn together and counted each. Ties of keys go to the lesser id. Empty tables give empty results.
-    Other columns, whatever their names, are not read. `targets` is a table of a few rows and is broadcast.
+    Other columns, whatever their names, are not read. `targets` is broadcast while it has few rows.
     """
     sizes = materialise(sampling_keys(token_sizes(docs, doc_id, text, source, vocabulary).where("tokens > 0 and source is not null"), seed))
     totals = materialise(sizes.groupBy("source").agg(F.sum("tokens").alias("source_tokens"), F.count(F.lit(1)).alias("docs"), F.avg("weight").alias("mean_weight")))
     plan = materialise(plan_mix(targets, totals.select("source", "source_tokens"), total_tokens))
     # Keys fall roughly evenly into buckets: the distribution of an exponential with the source's mean weight.
     spread = totals.select("source", "mean_weight", F.greatest(F.lit(1), F.ceil(F.col("docs") / BUCKET_DOCS)).alias("buckets"))
-    placed = sizes.join(F.broadcast(spread), "source").withColumn("bucket", F.least(F.col("buckets") - 1, F.floor((1 - F.exp(-F.col("key") * F.col("mean_weight"))) * F.col("buckets"))).cast("long")).drop("mean_weight", "buckets")
+    placed = join_sized(sizes, spread, ["source"], rows=totals.count()).withColumn("bucket", F.least(F.col("buckets") - 1, F.floor((1 - F.exp(-F.col("key") * F.col("mean_weight"))) * F.col("buckets"))).cast("long")).drop("mean_weight", "buckets")
     sums = placed.groupBy("source", "bucket").agg(F.sum("tokens").alias("in_bucket"))
     upto = materialise(sums.withColumn("before", F.sum("in_bucket").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).withColumn("before", F.coalesce("before", F.lit(0))))
     # Per mix and source the bucket in which the remainder ends: those before it are taken whole.
     last = plan.where("remainder > 0").join(upto, "source").where("before < remainder").groupBy("mix_name", "source").agg(F.max("bucket").alias("last"), F.max_by("before", "bucket").alias("before"))
-    todo = plan.where("budget > 0").join(last, ["mix_name", "source"], "left").select("mix_name", "source", "epochs", "remainder", "last", "before")
-    used = placed.join(F.broadcast(todo), "source").withColumn("edge", F.col("bucket") == F.col("last"))
+    todo = materialise(plan.where("budget > 0").join(last, ["mix_name", "source"], "left").select("mix_name", "source", "epochs", "remainder", "last", "before"))
+    used = join_sized(placed, todo, ["source"]).withColumn("edge", F.col("bucket") == F.col("last"))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "doc_id"], ignore_index=True)
