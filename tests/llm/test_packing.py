@@ -74,3 +74,32 @@ def test_operator(spark):
 def test_token_sizes(spark):
     got = T.token_sizes(spark.createDataFrame([(1, "hello world", "a"), (2, None, None)], "doc_id long, text string, source string")).collect()
     assert [(r.doc_id, r.tokens > 0) for r in got] == [(1, True), (2, False)]
+
+
+def test_common_terms_and_distant_candidates_count():
+    """A neighbour may share only terms beyond the first 16, and the neighbour that fits may be beyond the first 64."""
+    own = np.arange(100, 120, dtype=np.uint16)
+    twice = [(own[:16], np.ones(16, np.uint16))]
+    query = (np.concatenate([[1], own]).astype(np.uint16), np.ones(21, np.uint16))
+    tail = [(np.array([1, 200 + i], np.uint16), np.ones(2, np.uint16)) for i in range(30)]
+    index = P.Bm25([query, *twice, *tail])
+    assert set(index.neighbours(0, np.arange(32) > 0, 99)) == set(range(1, 32))
+    n = 90
+    alike = P.Bm25([(np.array([5, 6], np.uint16), np.ones(2, np.uint16))] + [(np.array([5, 6], np.uint16), np.ones(2, np.uint16))] * (n - 2) + [(np.array([5], np.uint16), np.ones(1, np.uint16))])
+    sizes = np.array([60] + [50] * (n - 2) + [40], np.int64)
+    assert P.pack(sizes, 100, alike)[0] == [(0, 0, 0, 60), (n - 1, 0, 0, 40)]
+
+
+def test_relatives_share_a_shard(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for topic in range(40):
+        ids = np.unique(rng.integers(topic * 500, topic * 500 + 500, 60)).astype(np.uint16)
+        for k in range(10):
+            mine = np.delete(ids, k)
+            rows.append((topic * 10 + k, len(mine), mine.tobytes(), np.ones(len(mine), np.uint16).tobytes()))
+    bags = spark.createDataFrame(rows, "doc_id long, tokens long, ids binary, tfs binary")
+    got = {r.doc_id: r.shard for r in P.placed_by_content(bags, P.collection_stats(bags), 100).collect()}
+    loads = {s: list(got.values()).count(s) for s in got.values()}
+    assert len(got) == 400 and len(loads) >= 4 and max(loads.values()) <= 150
+    assert sum(len({got[t * 10 + k] for k in range(10)}) == 1 for t in range(40)) >= 36
