@@ -1,10 +1,10 @@
-"""The main body of web pages (problem 2), by tag-path ratios.
+"""The main body of web pages (problem 2), by line rules and a blacklist of repeated lines.
 
-A line's path is its page's root, its block (heading, list item, quote, table, paragraph), what it wraps (a link, an
-emphasis) and, where the same line is frequent, its own template as the leaf. Text length and sentence punctuation are
-aggregated per path over all pages, smoothed towards the parent path, fused with the rarity of the leaf on its site, and
-held against a threshold. Pages are then read once more: content paths between the headline and the end of the article
-are kept, and headings are kept when the paths below them are content.
+Text length and sentence punctuation are aggregated per site and line (with numbers as 0), smoothed towards a constant and
+fused with the line's rarity on its site; lines that the site repeats and that score below a threshold are the blacklist.
+Pages are then read once more: between the headline and the end of the article, lines that end a sentence or are long, and
+table rows, are kept, and headings when such lines follow. This replaces tag-path ratios: block and wrapping give no path,
+and no score decides what is content.
 """
 
 from __future__ import annotations
