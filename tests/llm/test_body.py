@@ -39,8 +39,8 @@ def test_headline():
 
 
 def test_dense_stretch():
-    nodes = body.read_page("\n".join(["Home", "News", P, P, "Print", P, "Read next", "[A](/a)", "[B](/b)", "Ann 1: " + P]), None, None)
-    assert body.dense_stretch(nodes) == (2, 5)
+    nodes = body.read_page("\n".join(["Home", "News", P, P, "Print", P, P, "Read next", "[A](/a)", "[B](/b)", "Ann 1: " + P]), None, None)
+    assert body.dense_stretch(nodes) == (2, 6)
     assert body.dense_stretch(body.read_page("Home\nNews", None, None)) == (0, -1)
 
 
