@@ -50,32 +50,45 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage, survives lost executors, keeps columns prunable."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed when the process ends."""
     path = f"{scratch_root(spark).rstrip('/')}/citetrail-{os.getpid()}-{uuid.uuid4().hex}"
     _written[path] = spark
-    df.write.parquet(path)
+    return path
+
+
+def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write to the shared folder and read back: cuts the lineage, survives lost executors, keeps columns prunable.
+
+    A filter on the column `by`, of few values, then reads only its folders.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
 class Growing:
-    """A table that grows by parts, each written once, and is read in one scan however many there are."""
+    """A table that grows by parts, each written once, and is read in one scan however many there are; filters on `by` read only its folders."""
 
-    def __init__(self, first: DataFrame) -> None:
-        self.spark, self.schema, self.paths = first.sparkSession, first.schema, []
+    def __init__(self, first: DataFrame, by: str | None = None) -> None:
+        self.spark, self.schema, self.parts, self.by = first.sparkSession, first.schema, 0, by
+        self.base = scratch_path(self.spark)
         self.add(first)
 
     def add(self, df: DataFrame) -> DataFrame:
         """Write a part; returns it as read back."""
-        part = materialise(df)
-        self.paths.append(part._scratch_path)
-        return part
+        path = f"{self.base}/part_no={self.parts}"
+        self.parts += 1
+        (df.write.partitionBy(self.by) if self.by else df.write).parquet(path)
+        return self._scan(path)
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*self.paths)
+        return self._scan(*(f"{self.base}/part_no={i}" for i in range(self.parts)))
+
+    def _scan(self, *paths: str) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("basePath", self.base).parquet(*paths).select(*self.schema.fieldNames())
 
 
 def drop(df: DataFrame | None) -> None:

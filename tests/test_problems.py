@@ -62,15 +62,25 @@ def test_hierarchy(spark):
         want |= {(f"t{s}", *x) for x in brute(links)}
     rows += [("t1", None, "x"), ("t1", "x", "  "), ("t1", "", "x")]
     df = spark.createDataFrame(rows, "analysis_id string, source_node_id string, target_node_id string").withColumn("scope", F.lit("clash"))
-    for task_links in (H.TASK_LINKS, 0):
-        assert {tuple(r) for r in H.hierarchy(df, task_links=task_links).select("scope", "node", "root", "depth").collect()} == want
+    for task_rows in (H.TASK_ROWS, 40, 0):
+        assert {tuple(r) for r in H.hierarchy(df, task_rows=task_rows).select("scope", "node", "root", "depth").collect()} == want
     assert H.hierarchy(df.limit(0)).count() == 0
 
 
 def test_paths_and_descendants(spark):
     df = spark.createDataFrame([("t", "b", "a"), ("t", "c", "b"), ("t", "c", "a"), ("t", "d", "c")], "analysis_id string, source_node_id string, target_node_id string")
-    assert {(r.node, r.path) for r in H.paths_from_roots(df).collect()} == {("a", "a"), ("b", "a/b"), ("c", "a/c"), ("d", "a/c/d")}
-    assert {(r.node, r.descendant, r.depth) for r in H.descendants(df).collect()} == {("a", "b", 1), ("a", "c", 1), ("a", "d", 2), ("b", "c", 1), ("b", "d", 2), ("c", "d", 1)}
+    for task_rows in (H.TASK_ROWS, 0):
+        assert {(r.node, r.path) for r in H.paths_from_roots(df, task_rows=task_rows).collect()} == {("a", "a"), ("b", "a/b"), ("c", "a/c"), ("d", "a/c/d")}
+        assert {(r.node, r.descendant, r.depth) for r in H.descendants(df, task_rows=task_rows).collect()} == {("a", "b", 1), ("a", "c", 1), ("a", "d", 2), ("b", "c", 1), ("b", "d", 2), ("c", "d", 1)}
+
+
+def test_small_and_large_scopes_agree(spark):
+    rng = random.Random(5)
+    rows = [(f"t{s}", f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for s, n in enumerate((3, 9, 30)) for _ in range(int(1.3 * n))]
+    df = spark.createDataFrame([*rows, (None, "b", "a")], "analysis_id string, source_node_id string, target_node_id string")
+    for f in (H.paths_from_roots, H.descendants):
+        one, all_ = f(df), f(df, task_rows=0)
+        assert one.columns == all_.columns and sorted(map(tuple, one.collect())) == sorted(map(tuple, all_.collect()))
 
 
 def test_dates(spark):
