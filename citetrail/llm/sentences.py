@@ -4,8 +4,9 @@ Boundary tokens are hidden events between words. A first pass over all texts cou
 block starts) and what is open (words on both sides of a possible boundary). A word that ends sentences ends blocks in a
 steady proportion, so the certain ends give P(boundary | word before), the certain starts P(word after | boundary), and
 what they leave unexplained P(word after | word before, none); a few rounds of expectation maximisation settle the
-starts. A second pass decides each place by its posterior, with forward-backward over a block. In scripts without
-terminators the same model runs over characters, with spaces as the certain boundaries.
+starts. A second pass decides each place by its posterior, with forward-backward over a block. In scripts that have
+neither terminators nor spaces between words (Thai, Lao) the same model runs over characters, every one of them a place,
+with spaces as the certain boundaries. In other scripts only signs, quotes and brackets are places.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ from citetrail.runtime import materialise
 
 #: Words rarer than this part of all places share one type by their form, so the model's size is bounded whatever the corpus.
 MIN_SHARE = 2e-5
+#: Pairs of words rarer than this part of all places count for the form of their first word; so at most 1 / PAIR_SHARE pairs, and as many rows of forms as there are types, reach the driver.
+PAIR_SHARE = 2e-6
+#: Contexts of characters rarer than this part of all pieces are not told apart from those at it.
+SIDE_SHARE, INNER_SHARE = 1e-4, 1e-5
 #: Rounds of expectation maximisation.
 ROUNDS = 3
 #: Characters on each side of a place in a script without terminators.
@@ -38,7 +43,7 @@ MEMO = 100_000
 RUN_ON = 0.03
 
 # Terminators by kind, and pairs of quotes and brackets.
-FULL_STOPS = "。！？．।॥"
+FULL_STOPS = "。！？．।॥۔؟።፧។៕၊။"
 _SPAN = r"„[^“”„]*[“”]|“[^”“]*”|«[^»«]*»|「[^」「]*」|『[^』『]*』|\"[^\"]*\"|\([^()]*(?:\([^()]*\)[^()]*)*\)|（[^（）]*）|\[[^\[\]]*\]"
 _PAIR = re.compile(_SPAN)
 _OPENERS = "„“«「『\"(（["
@@ -46,7 +51,7 @@ _OPENERS = "„“«「『\"(（["
 _EVENT = re.compile(rf"[„“«「『\"(（\[!?…{FULL_STOPS}]|\.(?!\d)")
 _EVENT_THAI = re.compile(_EVENT.pattern + r"|(?<=\S)\s+(?=\S)")
 _RUN = re.compile(rf"(?:[!?…]|\.(?!\d)|[{FULL_STOPS}])+[’'”»›)\]】」』]*")
-_THAI = re.compile(r"[\u0e00-\u0e7f]")
+_THAI = re.compile(r"[\u0e00-\u0eff]")  # Thai and Lao
 _TOKEN = re.compile(r"\S+")
 _BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 _CLAIM = re.compile(r"(\d+)[.．](?=\s)")
@@ -296,6 +301,7 @@ class Model:
     thai_start: dict[str, float] = field(default_factory=dict)
     thai_inner: dict[str, float] = field(default_factory=dict)
     thai_n: float = 1.0
+    thai_rare: float = 0.0
     memo: dict = field(default_factory=dict)
     blocks: dict[str, list] = field(default_factory=dict)  # cuts of blocks met lately
 
@@ -340,9 +346,30 @@ def fit(counts: dict[tuple[str, str, str, str], int]) -> Model:
         e[a if n_before[a] >= least else _shape_before(a)] += n
     for (a, f), n in starts.items():
         s[a if n_after[a] >= least else _shape_after(a, f)] += n
+    return _fit(places, e, s, Counter(), *_sides(counts))
+
+
+def _sides(counts: dict[tuple[str, str, str, str], int]) -> tuple[Counter, Counter, Counter]:
+    out = {"e": Counter(), "s": Counter(), "i": Counter()}
+    for (kind, a, b, _), n in counts.items():
+        if kind in out:
+            out[kind][a + b] += n
+    return out["e"], out["s"], out["i"]
+
+
+def _fit(places: Counter, e: Counter, s: Counter, sums: Counter, te: Counter, ts: Counter, ti: Counter) -> Model:
+    """The model from counts by type: places (before, after, form), ends, starts; ends, starts and inner contexts in characters.
+
+    sums: places by (before, form), where rare pairs in `places` have only the form of their first word; else empty.
+    """
+    if not sums:
+        for (p, _, f), n in places.items():
+            sums[p, f] += n
     c_p, c_a = Counter(), Counter()
-    for (p, a, _), n in places.items():
+    for (p, _), n in sums.items():
         c_p[p] += n
+    for (p, a, _), n in places.items():
+        c_p[p] += 0
         c_a[a] += n
     # Open places per certain end, of words that end sentences; words that also stand inside sentences lie above it.
     ratios = sorted(c_p[p] / n for p, n in e.items() if n >= max(5.0, 1e-4 * sum(e.values())) and c_p[p])
@@ -359,7 +386,7 @@ def fit(counts: dict[tuple[str, str, str, str], int]) -> Model:
         theta[p] = min(0.998, (per_end * e[p] + 2.0 * prior) / (c_p[p] + 2.0))
         model.before[p] = (theta[p] * c_p[p] + 0.02, (1 - theta[p]) * c_p[p] + 0.02)
     fb, fn = Counter(), Counter()
-    for (p, _, f), n in places.items():
+    for (p, f), n in sums.items():
         if theta[p] >= 0.9:
             fb[f] += n
         elif theta[p] <= 0.1:
@@ -375,41 +402,35 @@ def fit(counts: dict[tuple[str, str, str, str], int]) -> Model:
         n_n = sum(none.values())
         model.after = {a: ((s[a] + 0.5 * inside_s[a] + 0.01) / n_s, none[a] / n_n) for a in set(c_a) | set(s)}
         model.memo, model.pair = {}, {}
-        inner, inner_p, found = Counter(), Counter(), Counter()
+        inner, inner_p, kept, found = Counter(), Counter(), Counter(), Counter()
         for (p, a, f), n in places.items():
             expected = min(n, model.before[p][0] * model.after[a][0] * model.form[f][0] / (model.form["U"][0] if f in ("U", "o") else 1.0))
             inner[p, a] += n - expected
             inner_p[p] += n - expected
+            kept[p] += n
+        for p, n in c_p.items():  # what rare pairs have
+            inner_p[p] += max(0, n - kept[p]) * (1 - theta[p])
         model.pair = {(p, a): x / (inner_p[p] + 0.02 * c_p[p] + 1.0) for (p, a), x in inner.items() if x > 0.05}
         for (p, a, f), n in places.items():
             found[a] += n / (1 + math.exp(-max(-30.0, min(30.0, model.odds(p, a, f)))))
         inside_s = found
     model.memo = {}
-    te, ts, ti = Counter(), Counter(), Counter()
-    for (kind, a, b, _), n in counts.items():
-        if kind == "e":
-            te[a] += n
-        elif kind == "s":
-            ts[a] += n
-        elif kind == "i":
-            ti[a + b] += n
     pieces = float(sum(te.values()))
-    least = max(3.0, 1e-4 * pieces)
+    least = max(3.0, SIDE_SHARE * pieces)
     model.thai_n = pieces
     model.thai_end = {k: n / pieces for k, n in te.items() if n >= least}
     model.thai_start = {k: n / pieces for k, n in ts.items() if n >= least}
-    # Only places that could be boundaries are looked up.
-    model.thai_inner = {k: float(n) for k, n in ti.items() if k[:SIDE] in model.thai_end and k[SIDE:] in model.thai_start}
+    # Only places that could be boundaries are looked up; what is not here is as rare as the rarest that is kept.
+    model.thai_rare = INNER_SHARE * pieces
+    model.thai_inner = {k: float(n) for k, n in ti.items() if n >= model.thai_rare and k[:SIDE] in model.thai_end and k[SIDE:] in model.thai_start}
     return model
 
 
-def _posterior(model: Model, text: str, b: Block) -> list[bool]:
-    """Forward-backward over a block's places; two boundaries with one word or less between them are held to be rare."""
-    odds = [model.odds(p, a, f) for _, _, p, a, f in b.places]
-    if len(odds) < 2 or all(abs(x) > 7 for x in odds):
+def _decided(odds: list[float], near: list[bool]) -> list[bool]:
+    """Forward-backward over places by their log odds; near: that a boundary here and at the place before would have too little between them."""
+    if len(odds) < 2 or all(abs(x) > 7 for x in odds) and not any(near):
         return [x > 0 for x in odds]
     local = [1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) for x in odds]
-    near = [False] + [b.places[i][0] - b.places[i - 1][1] < 14 and " " not in text[b.places[i - 1][1] : b.places[i][0]] and text[b.places[i][0] - 1] not in FULL_STOPS for i in range(1, len(odds))]
     fwd, y, n = [], 1.0, 0.0
     for i, q in enumerate(local):
         joint = 0.05 if near[i] else 1.0
@@ -423,14 +444,24 @@ def _posterior(model: Model, text: str, b: Block) -> list[bool]:
         out[i] = y > n
         joint, q = 0.05 if near[i] else 1.0, local[i]
         by, bn = q * joint * by + (1 - q) * bn, q * by + (1 - q) * bn
+        t = by + bn
+        by, bn = by / t, bn / t
     return out
 
 
+def _posterior(model: Model, text: str, b: Block) -> list[bool]:
+    """Forward-backward over a block's places; two boundaries with one word or less between them are held to be rare."""
+    odds = [model.odds(p, a, f) for _, _, p, a, f in b.places]
+    if len(odds) < 2 or all(abs(x) > 7 for x in odds):
+        return [x > 0 for x in odds]
+    near = [False] + [b.places[i][0] - b.places[i - 1][1] < 14 and " " not in text[b.places[i - 1][1] : b.places[i][0]] and text[b.places[i][0] - 1] not in FULL_STOPS for i in range(1, len(odds))]
+    return _decided(odds, near)
+
+
 def _run_on(model: Model, piece: str) -> list[int]:
-    """Places inside a piece without spaces where one sentence ends and another starts."""
+    """Places inside a piece without spaces where one sentence ends and another starts, by forward-backward over its characters."""
     if len(piece) < 3 * SIDE:
         return []
-    cuts, last = [], 0
     # Digits are one sign, so positions are mapped back.
     flat, at = [], []
     for k, ch in enumerate(piece):
@@ -439,15 +470,17 @@ def _run_on(model: Model, piece: str) -> list[int]:
         flat.append("9" if ch.isdigit() else ch)
         at.append(k)
     s = "".join(flat)
+    places, odds = [], []
     for k in range(SIDE, len(s) - SIDE + 1):
         end = model.thai_end.get(s[k - SIDE : k])
         start = end and model.thai_start.get(s[k : k + SIDE])
         if start:
+            # Boundaries without a space expected here, against what the corpus has of these characters in a row.
             expected = RUN_ON * model.thai_n * end * start
-            if expected / (model.thai_inner.get(s[k - SIDE : k + SIDE], 0.0) + 0.1) > 0.3 and at[k] - last >= SIDE:
-                cuts.append(at[k])
-                last = at[k]
-    return cuts
+            places.append(k)
+            odds.append(math.log(expected / (max(model.thai_inner.get(s[k - SIDE : k + SIDE], 0.0), model.thai_rare) + 0.1)) - math.log(0.3))
+    near = [False] + [places[i] - places[i - 1] < SIDE for i in range(1, len(places))]
+    return [at[k] for k, yes in zip(places, _decided(odds, near), strict=True) if yes]
 
 
 def cuts(text: str, model: Model) -> list[tuple[int, int]]:
@@ -490,8 +523,10 @@ def units(text: str, model: Model, memo: dict[str, list] | None = None) -> tuple
 def fit_corpus(docs: DataFrame, text: str = "text") -> Model:
     """The model of all texts: counted per task, merged by key, and cut by share before the driver fits it.
 
-    Types below MIN_SHARE of all places are merged into their form, so what reaches the driver is bounded by
-    1 / MIN_SHARE types on each side and not by the corpus.
+    Types below MIN_SHARE of all places are merged into their form, so there are at most 1 / MIN_SHARE types on each side
+    and a few dozen forms; pairs below PAIR_SHARE are merged into the form of their first word, so there are at most
+    1 / PAIR_SHARE pairs, and types times forms of the rest. Contexts of characters are bounded by 1 / SIDE_SHARE and
+    (places a piece) / INNER_SHARE. So what reaches the driver does not grow with the corpus.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -512,30 +547,35 @@ def fit_corpus(docs: DataFrame, text: str = "text") -> Model:
             yield flush()
 
     rows = docs.where(F.col(text) != "").select(F.col(text).alias("text")).mapInArrow(count, "kind string, a string, b string, c string, n long")
-    sums = rows.groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n"))
-    # A type's count over all its rows decides whether it keeps its name.
-    sums = materialise(sums)
+    sums = materialise(rows.groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n")))
     total = sums.where("kind in ('C','E','S')").agg(F.sum("n")).first()[0] or 0
     least = max(2.0, MIN_SHARE * total)
-    if total * MIN_SHARE <= 2.0:
-        small = sums
-    else:
-        before = sums.where("kind in ('C','E')").groupBy("a").agg(F.sum("n").alias("m")).where(F.col("m") >= least).select("a", F.lit(True).alias("known"))
-        after = sums.where("kind in ('C','S')").groupBy(F.when(F.col("kind") == "C", F.col("b")).otherwise(F.col("a")).alias("x")).agg(F.sum("n").alias("m")).where(F.col("m") >= least).select("x", F.lit(True).alias("known_x"))
-        core = F.rtrim(F.col("a"), F.lit(".!?…"))
-        shape = F.concat(F.lit("<"), F.least(F.length(core), F.lit(5)).cast("string"), F.substring(F.substr(F.col("a"), F.length(core) + 1), 1, 1), F.lit(">"))
-        c = sums.where("kind in ('C','E')").join(before, "a", "left").withColumn("a", F.when(F.col("known"), F.col("a")).otherwise(shape))
-        word = F.when(F.col("kind") == "C", F.col("b")).otherwise(F.col("a"))
-        form = F.when(F.col("kind") == "C", F.col("c")).otherwise(F.col("b"))
-        shape_x = F.concat(F.lit("<"), F.substring(form, 1, 1), F.when(F.length("x") == 1, "1").otherwise(""), F.lit(">"))
-        opened = c.where("kind = 'C'").select("kind", "a", "b", "c", "n").unionByName(sums.where("kind = 'S'").select("kind", "a", "b", "c", "n")).withColumn("x", word)
-        opened = opened.join(after, "x", "left").withColumn("x", F.when(F.col("known_x"), F.col("x")).otherwise(shape_x))
-        named = opened.select("kind", F.when(F.col("kind") == "C", F.col("a")).otherwise(F.col("x")).alias("a"), F.when(F.col("kind") == "C", F.col("x")).otherwise(F.col("b")).alias("b"), "c", "n")
-        edge = sums.where("kind in ('e','s','i')")
-        pieces = edge.where("kind = 'e'").agg(F.sum("n")).first()[0] or 0
-        edge = edge.where(F.col("n") >= max(2.0 if pieces > 1000 else 1.0, 1e-5 * pieces))
-        small = named.unionByName(c.where("kind = 'E'").select("kind", "a", "b", "c", "n")).unionByName(edge).groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n"))
-    return fit({(r.kind, r.a, r.b, r.c): r.n for r in small.toLocalIterator()})
+    # A type's count over all its rows decides whether it keeps its name.
+    before = sums.where("kind in ('C','E')").groupBy("a").agg(F.sum("n").alias("m")).where(F.col("m") >= least).select("a", F.lit(True).alias("known"))
+    after = sums.where("kind in ('C','S')").groupBy(F.when(F.col("kind") == "C", F.col("b")).otherwise(F.col("a")).alias("x"))
+    after = after.agg(F.sum("n").alias("m")).where(F.col("m") >= least).select("x", F.lit(True).alias("known_x"))
+    core = F.rtrim(F.col("a"), F.lit(".!?…"))
+    shape = F.concat(F.lit("<"), F.least(F.length(core), F.lit(5)).cast("string"), F.substring(F.substr(F.col("a"), F.length(core) + 1), 1, 1), F.lit(">"))
+    shape_x = F.concat(F.lit("<"), F.substring("form", 1, 1), F.when(F.length("x") == 1, "1").otherwise(""), F.lit(">"))
+    known, named = F.coalesce("known", F.lit(False)), F.when(F.col("known_x"), F.col("x")).otherwise(shape_x)
+    ends = sums.where("kind = 'E'").join(before, "a", "left").groupBy(F.when(known, F.col("a")).otherwise(shape).alias("a")).agg(F.sum("n").alias("n"))
+    starts = sums.where("kind = 'S'").select(F.col("a").alias("x"), F.col("b").alias("form"), "n").join(after, "x", "left").groupBy(named.alias("a")).agg(F.sum("n").alias("n"))
+    places = sums.where("kind = 'C'").select("a", F.col("b").alias("x"), F.col("c").alias("form"), "n").join(before, "a", "left").join(after, "x", "left")
+    places = places.groupBy(F.when(known, F.col("a")).otherwise(shape).alias("a"), F.when(known, shape).otherwise(F.lit(None)).alias("backoff"), named.alias("b"), F.col("form").alias("c")).agg(F.sum("n").alias("n"))
+    places = materialise(places)
+    by_form = places.groupBy("a", "c").agg(F.sum("n").alias("n"))
+    pairs = places.withColumn("a", F.when(F.col("n") >= PAIR_SHARE * total, F.col("a")).otherwise(F.coalesce("backoff", "a"))).groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
+    pieces = sums.where("kind = 'e'").agg(F.sum("n")).first()[0] or 0
+    sides = sums.where(F.col("kind").isin("e", "s") & (F.col("n") >= SIDE_SHARE * pieces) | (F.col("kind") == "i") & (F.col("n") >= INNER_SHARE * pieces))
+    # All pieces, whatever their ends: the parts are of these.
+    rest = sums.where((F.col("kind") == "e") & (F.col("n") < SIDE_SHARE * pieces)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def counter(df: DataFrame, *keys: str) -> Counter:
+        return Counter({tuple(r[k] for k in keys) if len(keys) > 1 else r[keys[0]]: r["n"] for r in df.toLocalIterator()})
+
+    te, ts, ti = _sides({(r.kind, r.a, r.b, r.c): r.n for r in sides.toLocalIterator()})
+    te[""] += rest
+    return _fit(counter(pairs, "a", "b", "c"), counter(ends, "a"), counter(starts, "a"), counter(by_form, "a", "c"), te, ts, ti)
 
 
 def sentence_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:

@@ -52,6 +52,34 @@ def test_scripts():
     assert cut("[0001] โรเตอร์โปร่งใส ตัวเรือนถอดออกได้\n\n1. อุปกรณ์ ตามข้อ") == ["[0001] โรเตอร์โปร่งใส", "ตัวเรือนถอดออกได้", "1. อุปกรณ์ ตามข้อ"]
 
 
+def test_lao_without_signs():
+    """Sentences of a script with neither terminators nor spaces between words: a space ends one, and where it is missing the characters tell."""
+    rng = random.Random(7)
+    starts, middles, ends = ["ໂຣເຕີນີ້ຖືກ", "ເຊັນເຊີອັນ", "ກ່ອງພາຍນອກ"], ["ວັດແທກໂດຍ", "ປະກອບດ້ວຍ", "ເຊື່ອມຕໍ່ກັບ", "ຕິດຕັ້ງຢູ່"], ["ແຜ່ນຮອງພື້ນ", "ມໍເຕີຕົ້ນຕໍ", "ຊັ້ນປ້ອງກັນ"]
+    one = lambda: rng.choice(starts) + "".join(rng.sample(middles, 2)) + rng.choice(ends)
+    counts, memo = Counter(), {}
+    for _ in range(600):
+        S.count_events(" ".join(one() for _ in range(4)), counts, memo)
+    m = S.fit(counts)
+    a, b, c = one(), one(), one()
+    text = f"{a} {b}{c}"
+    assert [text[x:y] for x, y in zip(*S.units(text, m), strict=True)] == [a, b, c]
+
+
+def test_terminators_of_other_scripts():
+    for stop in "។။۔።":
+        assert cut(f"အလွန်ကောင်း{stop} ဒါပြီး{stop}") == [f"အလွန်ကောင်း{stop}", f"ဒါပြီး{stop}"]
+
+
+def test_rare_pairs_are_bounded(spark):
+    """What reaches the driver keeps the sums of all places, whatever pairs are rare."""
+    df = spark.createDataFrame([(t,) for t in corpus()], "text string")
+    whole = S.fit_corpus(df)
+    assert {k for k in whole.before if k[:1] != "<"} == {k for k in MODEL.before if k[:1] != "<"}
+    for k, (yes, no) in MODEL.before.items():
+        assert abs(yes + no - sum(whole.before[k])) < 1e-6
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("ab Z.?!\n\"“”()9。ก \t1[]…«»")), max_size=60))
 def test_every_character_in_one_unit(text):
