@@ -2,7 +2,8 @@
 
 A source's budget is its part of the mix's tokens. Complete epochs over the source come first; the rest of the budget is
 filled by documents in the order of exponential keys scaled by their quality weights. Prefix sums are taken over buckets
-of keys, and only the bucket in which a budget ends is sorted, so no source is ever ordered in one task.
+of keys; the bucket in which a budget ends is cut into buckets again until it has few documents, however the weights lie,
+and only those are sorted, so no source is ever ordered in one task.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 from citetrail.llm.tokens import VOCABULARY, token_sizes
 from citetrail.runtime import join_sized, materialise
 
-#: Documents aimed at per bucket of keys.
+#: Most documents of the bucket in which a budget ends; it is sorted in one task.
 BUCKET_DOCS = 1_000
+#: Buckets that a range of keys is cut into, and the most rounds of that (only documents of one id have equal keys).
+BUCKETS, ROUNDS = 1_024, 12
 
 
 def sampling_keys(sizes: DataFrame, seed: int = 1) -> DataFrame:
@@ -46,26 +49,45 @@ def plan_mix(targets: DataFrame, totals: DataFrame, total_tokens: int | None = N
     return t.withColumn("remainder", F.col("budget") - F.col("epochs") * F.col("source_tokens")).drop("mix_tokens")
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = VOCABULARY, total_tokens: int | None = None, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def budget_ends(sizes: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The rows of `ranges` with the range of log keys (lo to hi) narrowed to the bucket in which the budget ends, of BUCKET_DOCS documents at most.
+
+    ranges: mix_name, source, remainder, docs, lo, hi, before: the documents in a range and the tokens before it. Each
+    round cuts a range into BUCKETS of equal width and sums tokens per bucket on the cluster.
+    """
+    ranges = materialise(ranges)
+    x = F.log("key")
+    for _ in range(ROUNDS):
+        wide = materialise(ranges.where((F.col("docs") > BUCKET_DOCS) & (F.col("hi") > F.col("lo"))))
+        n = wide.count()
+        if not n:
+            break
+        at = join_sized(sizes.select("source", "tokens", "key"), wide.drop("docs"), ["source"], rows=n).where(x.between(F.col("lo"), F.col("hi")))
+        bucket = F.least(F.floor((x - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS), F.lit(BUCKETS - 1))
+        sums = at.groupBy("mix_name", "source", "remainder", "before", bucket.alias("bucket")).agg(F.sum("tokens").alias("in_bucket"), F.count(F.lit(1)).alias("docs"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+        upto = F.sum("in_bucket").over(Window.partitionBy("mix_name", "source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+        sums = sums.withColumn("before", F.col("before") + F.coalesce(upto, F.lit(0))).where("before < remainder")
+        last = sums.groupBy("mix_name", "source").agg(F.max_by(F.struct("remainder", "docs", "lo", "hi", "before"), "bucket").alias("r")).select("mix_name", "source", "r.*")
+        ranges = materialise(ranges.where((F.col("docs") <= BUCKET_DOCS) | (F.col("hi") <= F.col("lo"))).unionByName(last))
+    return ranges
+
+
+def mix_sources(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = VOCABULARY, total_tokens: int | None = None, seed: int = 1, quality: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(mix_name, source, doc_id, tokens, repeats) for each document used, and the report of shares per mix and source.
 
+    quality names a column of weights; without it they are made from the texts (`tokens.token_sizes`).
+
     Every document of a source is used `epochs` times; those the sample takes once more. In the bucket where the budget
     ends, documents are taken in the order of their keys while they fit what is left. Documents without tokens or source are never used. Rows with
     equal ids are drawn together and counted each. Ties of keys go to the lesser id. Empty tables give empty results.
     Other columns, whatever their names, are not read. `targets` is broadcast while it has few rows.
     """
-    sizes = materialise(sampling_keys(token_sizes(docs, doc_id, text, source, vocabulary).where("tokens > 0 and source is not null"), seed))
-    totals = materialise(sizes.groupBy("source").agg(F.sum("tokens").alias("source_tokens"), F.count(F.lit(1)).alias("docs"), F.avg("weight").alias("mean_weight")))
+    sizes = materialise(sampling_keys(token_sizes(docs, doc_id, text, source, vocabulary, quality).where("tokens > 0 and source is not null"), seed))
+    totals = materialise(sizes.groupBy("source").agg(F.sum("tokens").alias("source_tokens"), F.count(F.lit(1)).alias("docs"), F.min(F.log("key")).alias("lo"), F.max(F.log("key")).alias("hi")))
     plan = materialise(plan_mix(targets, totals.select("source", "source_tokens"), total_tokens))
-    # Keys fall roughly evenly into buckets: the distribution of an exponential with the source's mean weight.
-    spread = totals.select("source", "mean_weight", F.greatest(F.lit(1), F.ceil(F.col("docs") / BUCKET_DOCS)).alias("buckets"))
-    placed = join_sized(sizes, spread, ["source"], rows=totals.count()).withColumn("bucket", F.least(F.col("buckets") - 1, F.floor((1 - F.exp(-F.col("key") * F.col("mean_weight"))) * F.col("buckets"))).cast("long")).drop("mean_weight", "buckets")
-    sums = placed.groupBy("source", "bucket").agg(F.sum("tokens").alias("in_bucket"))
-    upto = materialise(sums.withColumn("before", F.sum("in_bucket").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).withColumn("before", F.coalesce("before", F.lit(0))))
-    # Per mix and source the bucket in which the remainder ends: those before it are taken whole.
-    last = plan.where("remainder > 0").join(upto, "source").where("before < remainder").groupBy("mix_name", "source").agg(F.max("bucket").alias("last"), F.max_by("before", "bucket").alias("before"))
-    todo = materialise(plan.where("budget > 0").join(last, ["mix_name", "source"], "left").select("mix_name", "source", "epochs", "remainder", "last", "before"))
-    used = join_sized(placed, todo, ["source"]).withColumn("edge", F.col("bucket") == F.col("last"))
+    ends = budget_ends(sizes, plan.where("remainder > 0").join(totals.drop("source_tokens"), "source").select("mix_name", "source", "remainder", "docs", "lo", "hi", F.lit(0).cast("long").alias("before")))
+    todo = materialise(plan.where("budget > 0").join(ends.drop("remainder", "docs"), ["mix_name", "source"], "left").select("mix_name", "source", "epochs", "remainder", "lo", "hi", "before"))
+    used = join_sized(sizes, todo, ["source"]).withColumn("edge", F.log("key").between(F.col("lo"), F.col("hi")))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "doc_id"], ignore_index=True)
@@ -77,7 +99,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", tex
 
     id_kind = dict(sizes.dtypes)["doc_id"]
     more = used.where("edge").select("mix_name", "source", "doc_id", "tokens", "key", "epochs", "remainder", "before").groupBy("mix_name", "source").applyInPandas(fill, f"mix_name string, source string, doc_id {id_kind}, tokens long, repeats int")
-    whole = used.where("not coalesce(edge, false)").select("mix_name", "source", "doc_id", "tokens", (F.col("epochs") + F.coalesce((F.col("bucket") < F.col("last")).cast("int"), F.lit(0))).alias("repeats"))
+    whole = used.where("not coalesce(edge, false)").select("mix_name", "source", "doc_id", "tokens", (F.col("epochs") + F.coalesce((F.log("key") < F.col("lo")).cast("int"), F.lit(0))).alias("repeats"))
     mixed = whole.unionByName(more).where("repeats > 0")
     taken = mixed.groupBy("mix_name", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("repeats").alias("most_repeats"))
     report = plan.join(taken, ["mix_name", "source"], "left").select(

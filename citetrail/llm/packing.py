@@ -93,7 +93,7 @@ def sketches(pdf: pd.DataFrame, stats: Stats) -> np.ndarray:
     """Random projections of BM25 impacts, of length 1: their products estimate how alike bags are."""
     out = np.zeros((len(pdf), DIMENSIONS), np.float32)
     for k, (i, t, n) in enumerate(zip(pdf["ids"], pdf["tfs"], pdf["tokens"], strict=True)):
-        term, tf = np.frombuffer(i, np.uint16), np.frombuffer(t, np.uint16).astype(np.float64)
+        term, tf = np.frombuffer(i, np.uint16), np.frombuffer(t, np.uint32).astype(np.float64)
         out[k] = stats.impact(term, tf, float(n)).astype(np.float32) @ _signs()[term]
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
@@ -278,7 +278,7 @@ def pack_documents(docs: DataFrame, specs: DataFrame, doc_id: str = "doc_id", te
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "tokens"], ignore_index=True)
-        index = Bm25([(np.frombuffer(i, np.uint16), np.frombuffer(t, np.uint16)) for i, t in zip(pdf["ids"], pdf["tfs"], strict=True)], stats)
+        index = Bm25([(np.frombuffer(i, np.uint16), np.frombuffer(t, np.uint32)) for i, t in zip(pdf["ids"], pdf["tfs"], strict=True)], stats)
         sizes, ids, shard = pdf["tokens"].to_numpy(np.int64), pdf["doc_id"].to_numpy(), int(pdf["shard"].iloc[0])
         out = []
         for name, capacity in capacities:

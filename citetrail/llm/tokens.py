@@ -3,41 +3,48 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Default vocabulary; any rank file with at most 65,536 ids may be given instead.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of such rank files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# Marks of damage in a text.
-DAMAGE = ["□", "�", "[[EQ-", "???"]
+#: Tokens from which a text's length is no sign of less quality.
+FULL_TOKENS = 200
+#: Least weight of a document.
+LEAST_WEIGHT = 0.05
+
+_shipped: set[tuple[str, str]] = set()
+
+
+def ship_vocabulary(spark: SparkSession, vocabulary: str) -> None:
+    """Send the rank file to every executor, once per application."""
+    key = (spark.sparkContext.applicationId, vocabulary)
+    if key not in _shipped and os.path.exists(vocabulary):
+        spark.sparkContext.addFile(vocabulary)
+        _shipped.add(key)
 
 
 @lru_cache(maxsize=2)
 def encoding(vocabulary: str) -> tiktoken.Encoding:
-    """Read once per Python worker."""
-    with open(vocabulary, "rb") as f:
+    """Read once per Python worker, from the path or from what `ship_vocabulary` sent."""
+    with open(vocabulary if os.path.exists(vocabulary) else SparkFiles.get(os.path.basename(vocabulary)), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
     return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def quality(text: str, tokens: int) -> float:
-    """A document's weight in (0, 1]: full from 200 tokens on, less for marks of damage."""
-    if tokens == 0:
-        return 0.05
-    harm = sum(map(text.count, DAMAGE))
-    return max(0.05, min(1.0, tokens / 200) / (1 + 50 * harm / tokens))
-
-
 def token_bags(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, tokens, ids binary, tfs binary: a text's size, its different tokens (uint16, ascending) and how often each occurs (uint16, at most 65,535). Null texts are empty."""
+    """doc_id, tokens, ids binary, tfs binary: a text's size, its different tokens (uint16, ascending) and how often each occurs (uint32). Null texts are empty."""
+    ship_vocabulary(docs.sparkSession, vocabulary)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,20 +56,33 @@ def token_bags(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", voca
                 k, c = np.unique(np.array(u, np.uint16), return_counts=True)
                 n.append(len(u))
                 ids.append(k.tobytes())
-                tfs.append(np.minimum(c, 65_535).astype(np.uint16).tobytes())
+                tfs.append(c.astype(np.uint32).tobytes())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "tokens": n, "ids": ids, "tfs": tfs})
 
     return base.mapInPandas(count, f"doc_id {dict(base.dtypes)['doc_id']}, tokens long, ids binary, tfs binary")
 
 
-def token_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, source, tokens, weight: a text's size and quality weight. Null texts are empty."""
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def letter_share(text: str) -> Column:
+    """The part of a text's signs other than white space that are letters or their marks: what tables, codes and damage lower."""
+    signs = F.length(F.regexp_replace(F.col(text), r"(?U)\s+", ""))
+    return F.when(signs > 0, F.regexp_count(F.col(text), F.lit(r"[\p{L}\p{M}]")) / signs).otherwise(0.0)
+
+
+def token_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = VOCABULARY, quality: str | None = None) -> DataFrame:
+    """doc_id, source, tokens, weight: a text's size and quality weight, in LEAST_WEIGHT to 1. Null texts are empty.
+
+    quality names a column of weights (null: 1); without it a weight is `letter_share`, less below FULL_TOKENS tokens.
+    """
+    ship_vocabulary(docs.sparkSession, vocabulary)
+    given = F.coalesce(F.col(quality).cast("double"), F.lit(1.0)) if quality else letter_share(text)
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(given, F.lit(0.0)).alias("given"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(vocabulary)
         for pdf in batches:
             n = [len(enc.encode_ordinary(t)) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "tokens": n, "weight": [quality(t, k) for t, k in zip(pdf["text"], n, strict=True)]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "tokens": n, "given": pdf["given"]})
 
-    return base.mapInPandas(count, f"doc_id {dict(base.dtypes)['doc_id']}, source string, tokens long, weight double")
+    sized = base.mapInPandas(count, f"doc_id {dict(base.dtypes)['doc_id']}, source string, tokens long, given double")
+    weight = F.col("given") if quality else F.col("given") * F.least(F.lit(1.0), F.col("tokens") / FULL_TOKENS)
+    return sized.select("doc_id", "source", "tokens", F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(1.0), weight)).alias("weight"))

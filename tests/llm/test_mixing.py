@@ -2,11 +2,12 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from citetrail.llm import mixing as M
-from citetrail.llm.tokens import VOCABULARY
+from citetrail.llm.tokens import VOCABULARY, token_sizes
 
 pytestmark = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary here")
 
@@ -46,6 +47,30 @@ def test_weights(spark):
     assert least > 0.8  # 0.6 without weights
 
 
+def test_quality_column(spark):
+    df = docs(spark).withColumn("q", F.when(F.col("doc_id") % 2 == 0, 1.0).when(F.col("doc_id") % 3 == 0, 0.01))
+    got = {(r.doc_id % 2, r.doc_id % 3 == 0): r.weight for r in token_sizes(df, quality="q").collect()}
+    assert got[0, True] == got[0, False] == got[1, False] == 1.0 and got[1, True] == 0.05
+    plain = {r.doc_id: r.weight for r in token_sizes(docs(spark)).collect()}
+    assert 0.05 <= plain[1] < 0.2 and plain[900] == plain[901] == 0.05
+
+
+def test_narrowing_on_skewed_weights(spark):
+    """5 % of the documents weigh a twentieth, and one document has a third of all tokens: the last bucket is small, and what comes before it is right."""
+    n = 60_000
+    sizes = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.when(F.col("id") == 7, n).otherwise(1 + F.col("id") % 3).cast("long").alias("tokens"), F.when(F.col("id") % 20 == 0, 0.05).otherwise(1.0).alias("weight"))
+    keys = M.sampling_keys(sizes).cache()
+    pdf = keys.toPandas().sort_values("key")
+    total = int(pdf.tokens.sum())
+    lo, hi = keys.agg(F.min(F.log("key")), F.max(F.log("key"))).first()
+    for remainder in (1, total // 3, int(total * 0.97), total - 1):
+        ranges = spark.createDataFrame([("m", "s", remainder, n, lo, hi, 0)], "mix_name string, source string, remainder long, docs long, lo double, hi double, before long")
+        r = M.budget_ends(keys, ranges).first()
+        inside = pdf[(np.log(pdf.key) >= r.lo - 1e-12) & (np.log(pdf.key) <= r.hi + 1e-12)]
+        assert r.docs == len(inside) <= M.BUCKET_DOCS
+        assert r.before == pdf[np.log(pdf.key) < r.lo - 1e-12].tokens.sum() < remainder <= r.before + inside.tokens.sum()
+
+
 def test_empty(spark):
     targets = spark.createDataFrame([], "mix_name string, source string, target_share double, max_repeats int")
     mixed, report = M.mix_sources(docs(spark), targets)
