@@ -12,10 +12,10 @@ from datetime import UTC, datetime, timedelta
 from zoneinfo import ZoneInfo, available_timezones
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citetrail.runtime import materialise
+from citetrail.runtime import join_sized, materialise
 
 # Month names by language (English, German, French, Spanish), in the order of the months.
 MONTHS = [
@@ -32,17 +32,20 @@ MONTHS = [
     ["november", "nov", "novembre", "noviembre"],
     ["december", "dec", "dezember", "dez", "décembre", "déc", "diciembre", "dic"],
 ]
-# Offsets of zone abbreviations, in minutes east of UTC.
+# Offsets of zone abbreviations, in minutes east of UTC; of ambiguous ones the most used meaning.
 ABBREVIATIONS = {
-    "z": 0, "utc": 0, "gmt": 0, "wet": 0, "west": 60, "bst": 60, "cet": 60, "cest": 120, "eet": 120, "eest": 180, "msk": 180, "ist": 330, "jst": 540, "kst": 540,
-    "aest": 600, "aedt": 660, "acst": 570, "acdt": 630, "awst": 480, "nzst": 720, "nzdt": 780, "nst": -210, "ndt": -150, "ast": -240, "adt": -180, "est": -300,
-    "edt": -240, "cst": -360, "cdt": -300, "mst": -420, "mdt": -360, "pst": -480, "pdt": -420, "akst": -540, "akdt": -480, "hst": -600,
+    "z": 0, "utc": 0, "gmt": 0, "ut": 0, "wet": 0, "west": 60, "bst": 60, "cet": 60, "cest": 120, "mez": 60, "mesz": 120, "eet": 120, "eest": 180, "msk": 180, "msd": 240, "trt": 180, "ist": 330, "idt": 180,
+    "wat": 60, "cat": 120, "sast": 120, "eat": 180, "mut": 240, "gst": 240, "irst": 210, "pkt": 300, "uzt": 300, "yekt": 300, "npt": 345, "omst": 360, "mmt": 390, "ict": 420, "wib": 420, "krat": 420, "novt": 420,
+    "sgt": 480, "hkt": 480, "myt": 480, "pht": 480, "phst": 480, "wita": 480, "awst": 480, "irkt": 480, "jst": 540, "kst": 540, "wit": 540, "yakt": 540, "acst": 570, "acdt": 630, "aest": 600, "aedt": 660, "vlat": 600,
+    "pgt": 600, "chst": 600, "lhst": 630, "magt": 660, "sbt": 660, "nzst": 720, "nzdt": 780, "fjt": 720, "pett": 720, "chast": 765, "chadt": 825, "tot": 780, "nst": -210, "ndt": -150, "ast": -240, "adt": -180, "est": -300, "edt": -240,
+    "cst": -360, "cdt": -300, "mst": -420, "mdt": -360, "pst": -480, "pdt": -420, "akst": -540, "akdt": -480, "hst": -600, "hast": -600, "hdt": -540, "sst": -660, "brt": -180, "brst": -120, "art": -180, "uyt": -180, "clt": -240, "clst": -180,
+    "bot": -240, "vet": -240, "gyt": -240, "pyt": -240, "cot": -300, "pet": -300, "ect": -300, "azot": -60, "cvt": -60,
 }
 # Weekday names by language, as an alternation.
 WEEKDAYS = "monday|tuesday|wednesday|thursday|friday|saturday|sunday|mon|tue|tues|wed|thu|thur|thurs|fri|sat|sun|montag|dienstag|mittwoch|donnerstag|freitag|samstag|sonntag|lundi|mardi|mercredi|jeudi|vendredi|samedi|dimanche|lunes|martes|miércoles|jueves|viernes|sábado|domingo"
 
-#: Local years for which zone-offset intervals are made; times outside use the nearest year's last offset.
-YEARS = (1970, 2050)
+#: Local years that a calendar with zones reaches; times outside use the rules of the first or last.
+YEARS = (2, 9998)
 
 
 def _month_number(name: Column) -> Column:
@@ -51,11 +54,11 @@ def _month_number(name: Column) -> Column:
 
 
 def parse_dates(df: DataFrame, text: str, order: Column) -> DataFrame:
-    """Adds `p`: struct<day, secs, micros, off_secs, zone, epoch_us>, null where the text fixes no day.
+    """Adds `p`: struct<day, secs, micros, off_secs, zone, epoch_us, odd_zone>, null where the text fixes no day.
 
     day counts from 1970-01-01, secs is the time of day (0 without a time), micros what is finer (digits beyond are cut).
     off_secs is an offset in the text, zone a zone named there (lower case); epoch_us an instant given as a number of
-    seconds, milliseconds, microseconds or nanoseconds. `order` is `dmy` or `mdy` for numeric dates that do not start
+    seconds, milliseconds, microseconds or nanoseconds; odd_zone an abbreviation whose offset is not known. `order` is `dmy` or `mdy` for numeric dates that do not start
     with a four-digit year (null: dmy). Impossible dates or times, and texts that name no day, give null. A rest of the
     text that is no time is ignored: the day's start.
     """
@@ -122,6 +125,7 @@ def parse_dates(df: DataFrame, text: str, order: Column) -> DataFrame:
             F.coalesce(numeric, abbr).cast("long").alias("off_secs"),
             F.when(z.contains("/"), z).alias("zone"),
             number.alias("epoch_us"),
+            F.when(z.rlike("^[a-z]{2,5}$") & abbr.isNull(), z).alias("odd_zone"),
         ),
     )
     return df.withColumn("p", p).drop("_s", "_f", "_k", "_g1", "_g2", "_g3", "_g4", "_y", "_m", "_d", "_n", "_t", "_h", "_mi", "_se", "_fr", "_ap", "_z")
@@ -152,35 +156,38 @@ def _offset_intervals(name: str, years: tuple[int, int]) -> list[tuple[float, fl
     return [*out, (start, hi, now)]
 
 
-def zone_intervals(spark: SparkSession, zones: list[str], years: tuple[int, int] = YEARS) -> DataFrame:
-    """zone (lower case), year, spans array<struct<lo, hi, off>>: per local year the offset intervals that touch it, in local seconds, in the order of time.
+def zone_intervals(pairs: DataFrame) -> DataFrame:
+    """zone (lower case), year, spans array<struct<lo, hi, off>>: per row of `pairs` (zone, year) the offset intervals that touch the local year, in local seconds, in the order of time.
 
-    At most one row per zone and year, so its size is bounded by the number of zones there are.
+    Zones are names of the zone database in any case; its rules go on for years to come. At most one row per zone and
+    year that occurs, however many records there are.
     """
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = {z.lower(): z for z in available_timezones()}
         for pdf in batches:
             rows = []
-            for name in pdf["name"]:
-                spans = [(a + o, b + o, o) for a, b, o in _offset_intervals(name, years)]
-                for year in range(years[0], years[1] + 1):
-                    a = (datetime(year, 1, 1) - datetime(1970, 1, 1)) // timedelta(seconds=1)
-                    b = (datetime(year + 1, 1, 1) - datetime(1970, 1, 1)) // timedelta(seconds=1)
-                    rows.append((name.lower(), year, [s for s in spans if s[1] > a - 86400 and s[0] < b + 86400]))
+            for zone, year in zip(pdf["zone"], pdf["year"], strict=True):
+                a = (datetime(year, 1, 1) - datetime(1970, 1, 1)) // timedelta(seconds=1)
+                b = (datetime(year + 1, 1, 1) - datetime(1970, 1, 1)) // timedelta(seconds=1)
+                spans = [(x + o, y + o, o) for x, y, o in _offset_intervals(names[zone], (year, year))]
+                rows.append((zone, year, [s for s in spans if s[1] > a - 86400 and s[0] < b + 86400]))
             yield pd.DataFrame(rows, columns=["zone", "year", "spans"])
 
-    names = spark.createDataFrame([(z,) for z in sorted(zones)], "name string")
-    return names.mapInPandas(make, "zone string, year int, spans array<struct<lo:bigint,hi:bigint,off:bigint>>")
+    return pairs.select("zone", "year").mapInPandas(make, "zone string, year int, spans array<struct<lo:bigint,hi:bigint,off:bigint>>")
 
 
-def resolve_local(df: DataFrame, zone: str, local: str, spans: DataFrame) -> DataFrame:
+def resolve_local(df: DataFrame, zone: str, local: str) -> DataFrame:
     """Adds `off` (seconds) and `clock` (`once`, `twice`, `skipped`, null without a zone known) for local seconds in a zone.
 
-    A time that occurs twice takes the first offset; one that clocks skip takes the offset before the change.
+    A time that occurs twice takes the first offset; one that clocks skip takes the offset before the change. `df` is a
+    materialised table: it is read once for the zones and years that occur, and once for the join.
     """
     year = F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col(local) / 86400).cast("int")))
     df = df.withColumns({"_zone": F.lower(F.col(zone)), "_year": F.least(F.greatest(year, F.lit(YEARS[0])), F.lit(YEARS[1]))})
-    df = df.join(F.broadcast(spans.select(F.col("zone").alias("_zone"), F.col("year").alias("_year"), "spans")), ["_zone", "_year"], "left")
+    known = [z.lower() for z in sorted(available_timezones())]
+    spans = materialise(zone_intervals(df.where(F.col("_zone").isin(known) & F.col("_year").isNotNull()).select(F.col("_zone").alias("zone"), F.col("_year").alias("year")).distinct()))
+    df = join_sized(df, spans.select(F.col("zone").alias("_zone"), F.col("year").alias("_year"), "spans"), ["_zone", "_year"], "left", spans.count(), 20_000)
     t = F.col(local)
     df = df.withColumn("_hit", F.filter("spans", lambda x: (x["lo"] <= t) & (t < x["hi"]))).withColumn("_before", F.filter("spans", lambda x: x["hi"] <= t))
     n = F.size("_hit")
@@ -198,24 +205,25 @@ def site_host(url: str) -> Column:
 def normalise_dates(records: DataFrame, sites: DataFrame, id_col: str, text: str, url: str) -> DataFrame:
     """record_id, utc_micros, clock: one instant per record whose text fixes at least a day.
 
-    An offset, abbreviation or known zone in the text holds; otherwise the zone of the url's site, or UTC where the url is null
-    or its site unknown. Null, empty and undated texts give no row; ids that repeat give one row (of different instants
-    the least); null ids are kept as one record. `sites` has a row per host (fixed in number, so it is broadcast) with
-    zone_name and date_order; a host given twice counts once, its least zone. Columns other than those named are not read.
+    An offset, abbreviation or known zone in the text holds; otherwise the zone of the url's site, or UTC where the url is
+    null or its site unknown. An abbreviation or zone that is not known fixes no instant: utc_micros is null and clock
+    `unknown`. Null, empty and undated texts give no row; ids that repeat give one row (of different instants the least);
+    null ids are kept as one record. `sites` has a row per host (fixed in number, so it is broadcast) with zone_name and
+    date_order; a host given twice counts once, its least zone. Columns other than those named are not read.
     """
-    spark = records.sparkSession
     site = sites.groupBy(F.lower("host").alias("host")).agg(F.min("zone_name").alias("zone_name"), F.min("date_order").alias("date_order"))
     base = records.select(F.col(id_col).alias("record_id"), F.col(text).alias("text"), site_host(url).alias("host")).join(F.broadcast(site), "host", "left")
-    parsed = parse_dates(base, "text", F.col("date_order")).select("record_id", "p.*", "zone_name")
-    # Of the zones there are, those that occur: at most as many names as the zone database has.
-    known = {z.lower(): z for z in available_timezones()}
-    named = base.select(F.explode(F.array(F.regexp_extract(F.lower("text"), r"(?U)([a-z_]+(?:/[a-z_+-]+)+)[\s\u200b\ufeff]*$", 1), F.lower("zone_name"))).alias("z")).where(F.col("z").isin(*known)).distinct()
-    zones = [known[r.z] for r in named.collect()]
-    spans = materialise(zone_intervals(spark, sorted({*zones, "UTC"})))
-    zone = F.when(F.col("off_secs").isNull() & F.col("epoch_us").isNull(), F.coalesce(F.when(F.col("zone").isin(*known), F.col("zone")), "zone_name", F.lit("UTC")))
-    timed = resolve_local(parsed.withColumns({"_z": zone, "_t": F.col("day") * 86400 + F.col("secs")}), "_z", "_t", spans)
-    offset = F.coalesce("off_secs", "off", F.lit(0))
-    micros = F.coalesce("epoch_us", (F.col("_t") - offset) * 1_000_000 + F.col("micros"))
-    one = timed.select("record_id", micros.alias("utc_micros"), "clock").groupBy("record_id").agg(F.min("utc_micros").alias("utc_micros"), F.min_by("clock", "utc_micros").alias("clock"))
-    # Dropped only here: a filter on parsed fields would be pushed down and repeat the whole parsing in its condition.
-    return one.where("utc_micros is not null")
+    parsed = parse_dates(base, "text", F.col("date_order")).select("record_id", "p", "zone_name")
+    known = [z.lower() for z in sorted(available_timezones())]
+    p = F.col("p")
+    unknown = F.coalesce(p["odd_zone"], F.when(~p["zone"].isin(known), p["zone"]))
+    zone = F.when(p["off_secs"].isNull() & p["epoch_us"].isNull() & unknown.isNull(), F.coalesce(p["zone"], "zone_name", F.lit("UTC")))
+    # Parsed once: written before it is read for the zones that occur and for the join. Undated records are dropped only
+    # when read back, as a filter on parsed fields would repeat the whole parsing in its condition.
+    timed = materialise(parsed.select("record_id", "p", unknown.isNotNull().alias("_odd"), zone.alias("_z"), (p["day"] * 86400 + p["secs"]).alias("_t"))).where("p is not null")
+    timed = resolve_local(timed, "_z", "_t")
+    offset = F.coalesce(p["off_secs"], "off", F.lit(0))
+    micros = F.coalesce(p["epoch_us"], F.when(~F.col("_odd"), (F.col("_t") - offset) * 1_000_000 + p["micros"]))
+    clock = F.when(F.col("_odd"), "unknown").otherwise(F.col("clock"))
+    one = timed.select("record_id", micros.alias("utc_micros"), clock.alias("clock"))
+    return one.groupBy("record_id").agg(F.min("utc_micros").alias("utc_micros"), F.coalesce(F.min_by("clock", "utc_micros"), F.min("clock")).alias("clock"))

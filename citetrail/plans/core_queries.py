@@ -39,7 +39,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     sites = load(spark, d, "sites")
     a = normalise_dates(load(spark, d, "analyses"), sites, "id", "article_date", "article_url")
     n = normalise_dates(load(spark, d, "source_nodes"), sites, "id", "date", "url")
-    return a.withColumn("record_table", F.lit("analyses")).unionByName(n.withColumn("record_table", F.lit("source_nodes"))).select("record_table", "record_id", "utc_micros")
+    return a.withColumn("record_table", F.lit("analyses")).unionByName(n.withColumn("record_table", F.lit("source_nodes"))).where("utc_micros is not null").select("record_table", "record_id", "utc_micros")
 
 
 _ORPHANS_SQL = """

@@ -100,7 +100,13 @@ def test_dates(spark):
         ("Published: Wed, 14 Sep 2022 09:37:26 -0330 ", B): utc(2022, 9, 14, 13, 7, 26),
         ("6 Nov 2022 2:29 AM CST", B): utc(2022, 11, 6, 8, 29),
         ("2021-05-03 20:04:37 America/Los_Angeles", B): utc(2021, 5, 4, 3, 4, 37),
-        ("2021-05-03 20:04:37 Mars/Olympus", B): utc(2021, 5, 3, 18, 4, 37),
+        ("2021-05-03 20:04:37 Mars/Olympus", B): None,
+        ("2021-05-03 20:04:37 QZT", B): None,
+        ("2021-05-03 12:00 SGT", A): utc(2021, 5, 3, 4),
+        ("2021-05-03 12:00 HKT", A): utc(2021, 5, 3, 4),
+        ("1965-07-01 12:00", A): utc(1965, 7, 1, 16),
+        ("2055-07-01 12:00", A): utc(2055, 7, 1, 16),
+        ("9999-12-31 12:00", None): utc(9999, 12, 31, 12),
         ("1er juin 2021 à 13h33", None): utc(2021, 6, 1, 13, 33),
         ("27. Mai 2022, 12:05 Uhr", None): utc(2022, 5, 27, 12, 5),
         ("30 de agosto de 2021, 02:36 h", None): utc(2021, 8, 30, 2, 36),
@@ -124,6 +130,8 @@ def test_dates(spark):
     rows = [(str(i), d, u, "x") for i, (d, u) in enumerate(cases)] * 2
     got = {r.record_id: r.utc_micros for r in normalise_dates(spark.createDataFrame(rows, "id string, date string, url string, zone_name string"), sites, "id", "date", "url").collect()}
     assert {d: got.get(str(i)) for i, d in enumerate(cases)} == cases
+    odd = {i for i, (d, _) in enumerate(cases) if d and ("Mars" in d or "QZT" in d)}
+    assert {int(i) for i, m in got.items() if m is None} == odd
     assert normalise_dates(spark.createDataFrame([], "id string, date string, url string"), sites, "id", "date", "url").count() == 0
 
 
