@@ -18,7 +18,7 @@ def bags(sizes, seed=0):
     out = []
     for s in sizes:
         i, t = np.unique(rng.integers(0, 50, min(int(s), 40)), return_counts=True)
-        out.append((i.astype(np.uint16), t.astype(np.uint16)))
+        out.append((i.astype(np.uint16), t.astype(np.uint32)))
     return out
 
 
@@ -97,7 +97,7 @@ def test_relatives_share_a_shard(spark):
         ids = np.unique(rng.integers(topic * 500, topic * 500 + 500, 60)).astype(np.uint16)
         for k in range(10):
             mine = np.delete(ids, k)
-            rows.append((topic * 10 + k, len(mine), mine.tobytes(), np.ones(len(mine), np.uint16).tobytes()))
+            rows.append((topic * 10 + k, len(mine), mine.tobytes(), np.ones(len(mine), np.uint32).tobytes()))
     bags = spark.createDataFrame(rows, "doc_id long, tokens long, ids binary, tfs binary")
     got = {r.doc_id: r.shard for r in P.placed_by_content(bags, P.collection_stats(bags), 100).collect()}
     loads = {s: list(got.values()).count(s) for s in got.values()}
