@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import tiktoken
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Default vocabulary; any rank file with at most 65,536 ids may be given instead.
@@ -23,6 +23,10 @@ FULL_TOKENS = 200
 #: Least weight of a document.
 LEAST_WEIGHT = 0.05
 
+# Bytes that are white space, and digits and signs.
+_SPACE = b" \t\r\n\x0b\x0c"
+_SIGNS = b"0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
 _shipped: set[tuple[str, str]] = set()
 
 
@@ -52,20 +56,21 @@ def token_bags(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", voca
         for pdf in batches:
             n, ids, tfs = [], [], []
             for t in pdf["text"]:
-                u = enc.encode_ordinary(t)
-                k, c = np.unique(np.array(u, np.uint16), return_counts=True)
+                u = np.array(enc.encode_ordinary(t), np.uint16)
+                u.sort()
+                first = np.flatnonzero(np.concatenate((u[:1] == u[:1], u[1:] != u[:-1])))
                 n.append(len(u))
-                ids.append(k.tobytes())
-                tfs.append(c.astype(np.uint32).tobytes())
+                ids.append(u[first].tobytes())
+                tfs.append(np.diff(first, append=len(u)).astype(np.uint32).tobytes())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "tokens": n, "ids": ids, "tfs": tfs})
 
     return base.mapInPandas(count, f"doc_id {dict(base.dtypes)['doc_id']}, tokens long, ids binary, tfs binary")
 
 
-def letter_share(text: str) -> Column:
-    """The part of a text's signs other than white space that are letters or their marks: what tables, codes and damage lower."""
-    signs = F.length(F.regexp_replace(F.col(text), r"(?U)\s+", ""))
-    return F.when(signs > 0, F.regexp_count(F.col(text), F.lit(r"[\p{L}\p{M}]")) / signs).otherwise(0.0)
+def letter_share(text: str) -> float:
+    """The part of a text's bytes, but for white space, that are no digits or signs of ASCII: what tables, codes and formulas lower."""
+    signs = text.encode().translate(None, _SPACE)
+    return len(signs.translate(None, _SIGNS)) / len(signs) if signs else 0.0
 
 
 def token_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = VOCABULARY, quality: str | None = None) -> DataFrame:
@@ -74,15 +79,15 @@ def token_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     quality names a column of weights (null: 1); without it a weight is `letter_share`, less below FULL_TOKENS tokens.
     """
     ship_vocabulary(docs.sparkSession, vocabulary)
-    given = F.coalesce(F.col(quality).cast("double"), F.lit(1.0)) if quality else letter_share(text)
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(given, F.lit(0.0)).alias("given"))
+    given = F.coalesce(F.col(quality).cast("double"), F.lit(1.0)) if quality else F.lit(None).cast("double")
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.col(text), F.lit("")).alias("text"), given.alias("given"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(vocabulary)
         for pdf in batches:
             n = [len(enc.encode_ordinary(t)) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "tokens": n, "given": pdf["given"]})
+            weight = pdf["given"] if quality else [letter_share(t) * min(1.0, k / FULL_TOKENS) for t, k in zip(pdf["text"], n, strict=True)]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "tokens": n, "weight": weight})
 
-    sized = base.mapInPandas(count, f"doc_id {dict(base.dtypes)['doc_id']}, source string, tokens long, given double")
-    weight = F.col("given") if quality else F.col("given") * F.least(F.lit(1.0), F.col("tokens") / FULL_TOKENS)
-    return sized.select("doc_id", "source", "tokens", F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(1.0), weight)).alias("weight"))
+    sized = base.mapInPandas(count, f"doc_id {dict(base.dtypes)['doc_id']}, source string, tokens long, weight double")
+    return sized.withColumn("weight", F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(1.0), "weight")))
