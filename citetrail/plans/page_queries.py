@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from citetrail.functions import dates, pages, text, urls
 from citetrail.operators.consolidate import first_per_key, leaders, similar_sets
 from citetrail.runtime import load, materialise
+from citetrail.sources.corpus import flatten_links
 
 
 def _urls(spark: SparkSession, d: str) -> DataFrame:
@@ -41,9 +42,8 @@ def page_title(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_links(spark: SparkSession, d: str) -> DataFrame:
-    ordered = F.concat(F.filter("links", lambda x: x["internal"]), F.filter("links", lambda x: ~F.coalesce(x["internal"], F.lit(False))))
-    rows = load(spark, d, "crawl_corpus").select("crawl_id", F.posexplode(F.filter(ordered, lambda x: x["href"].isNotNull())).alias("pos", "l"))
-    return rows.select("crawl_id", "pos", "l.href", F.coalesce("l.text", F.lit("")).alias("text"), F.coalesce("l.internal", F.lit(False)).alias("internal"))
+    rows = load(spark, d, "crawl_corpus").select("crawl_id", F.posexplode(flatten_links(F.col("links"))).alias("pos", "l"))
+    return rows.select("crawl_id", "pos", "l.href", "l.text", "l.internal")
 
 
 def page_inline_links(spark: SparkSession, d: str) -> DataFrame:
@@ -69,15 +69,17 @@ def page_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_strip_related(spark: SparkSession, d: str) -> DataFrame:
-    return _md(spark, d).select("crawl_id", F.length(pages.strip_related(F.col("markdown"))).alias("n_chars"))
+    return _md(spark, d).select("crawl_id", F.md5(pages.strip_related(F.col("markdown"))).alias("digest"))
 
 
 def page_densest_block(spark: SparkSession, d: str) -> DataFrame:
-    return _md(spark, d).select("crawl_id", F.length(pages.strip_boilerplate(F.col("markdown"))).alias("n_chars"))
+    return _md(spark, d).select("crawl_id", F.md5(pages.densest_block(F.col("markdown"))).alias("digest"))
 
 
 def page_best_content(spark: SparkSession, d: str) -> DataFrame:
-    return pages.with_best_content(load(spark, d, "crawl_corpus"), F.lit(""), F.col("markdown")).select("crawl_id", F.length("content").alias("n_chars"))
+    """The fitted text is here the page without related articles, and a page that failed has none."""
+    fit = F.when(F.col("success"), pages.strip_related(F.col("markdown")))
+    return pages.with_best_content(load(spark, d, "crawl_corpus"), fit, F.col("markdown")).select("crawl_id", F.md5("content").alias("digest"))
 
 
 def cache_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -181,6 +183,32 @@ f AS (SELECT crawl_id, success, markdown, list_max(list_transform(regexp_split_t
     AND ({" OR ".join(f"contains(lower(title), '{t}')" for t in pages.KNOWLEDGE_TITLES)})) AS knowledge_base FROM k)
 """
 
+_SPACES = r"[\s\x{A0}\x{FEFF}]"
+
+
+def _trim(x: str) -> str:
+    return f"regexp_replace({x}, '^{_SPACES}+|{_SPACES}+$', '', 'g')"
+
+
+def _strip_sql(source: str, name: str) -> str:
+    """CTE of (crawl_id, y): the texts x of `source` without related articles."""
+    heading = pages.RELATED_HEADING.replace("'", "''")
+    return f"""{name}_l AS (SELECT crawl_id, x, string_split(x, chr(10)) AS ls FROM {source}),
+      {name}_c AS (SELECT *, list_min(list_filter(range(1, len(ls) + 1), lambda i: i - 1 >= floor(len(ls) * 0.3) AND regexp_matches({_trim("ls[i]")}, '(?i){heading}'))) AS cut_at FROM {name}_l),
+      {name} AS (SELECT crawl_id, CASE WHEN cut_at IS NULL THEN x ELSE {_trim("array_to_string(ls[:cut_at-1], chr(10))")} END AS y FROM {name}_c)"""
+
+
+#: CTEs from t(crawl_id, k, x) to dense(crawl_id, k, y): the heaviest run of lines of each text x, by window sums.
+_DENSE = f"""dense_l AS (SELECT crawl_id, k, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) - 1 AS i FROM t),
+      dense_s AS (SELECT *, {_trim("line")} AS s FROM dense_l),
+      dense_n AS (SELECT *, length(regexp_replace(regexp_replace(s, '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '[#*_`>|]', '', 'g')) AS n, len(regexp_extract_all(s, '\\[[^\\]]*\\]\\([^)]*\\)')) AS links FROM dense_s),
+      dense_w AS (SELECT *, CASE WHEN s = '' THEN 0 WHEN n < 10 THEN -1000 ELSE round(1000 * (n - 3000.0::DOUBLE * links / n))::BIGINT END AS w FROM dense_n),
+      dense_p AS (SELECT *, sum(w) OVER (PARTITION BY crawl_id, k ORDER BY i) AS upto, sum((w < 1000)::INT) OVER (PARTITION BY crawl_id, k ORDER BY i ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) = 6 AS barrier FROM dense_w),
+      dense_g AS (SELECT *, sum(barrier::INT) OVER (PARTITION BY crawl_id, k ORDER BY i) AS part FROM dense_p),
+      dense_m AS (SELECT *, min({{'total': upto - w, 'i': i}}) FILTER (WHERE w >= 5000) OVER (PARTITION BY crawl_id, k, part ORDER BY i) AS first_line FROM dense_g),
+      dense_r AS (SELECT crawl_id, k, first_line.i AS b, i AS f, row_number() OVER (PARTITION BY crawl_id, k ORDER BY upto - first_line.total DESC, first_line.i, i) AS r FROM dense_m WHERE first_line IS NOT NULL),
+      dense AS (SELECT t.crawl_id, t.k, CASE WHEN b < f THEN {_trim("array_to_string(string_split(x, chr(10))[b + 1 : f + 1], chr(10))")} ELSE x END AS y FROM t LEFT JOIN dense_r d ON d.crawl_id = t.crawl_id AND d.k = t.k AND r = 1)"""
+
 SQL = {
     "url_normalize": _NORM + "SELECT url, norm_url FROM n",
     "url_dedupe": _NORM + "SELECT norm_url, min(crawl_id) AS crawl_id FROM crawl_corpus JOIN n USING (url) GROUP BY norm_url",
@@ -200,9 +228,13 @@ SQL = {
     "page_knowledge_base": f"WITH {_KINDS} SELECT crawl_id, knowledge_base FROM f WHERE markdown <> ''",
     "page_kinds": f"""WITH {_KINDS} SELECT CASE WHEN NOT coalesce(success, false) THEN 'failed' WHEN length(markdown) < 200 THEN 'unscrapable' WHEN link_heavy THEN 'link-heavy' WHEN product THEN 'product'
       WHEN knowledge_base THEN 'knowledge-base' ELSE 'article' END AS kind, count(*) AS n_pages FROM f GROUP BY 1""",
-    "page_strip_related": f"""WITH l AS (SELECT crawl_id, markdown, string_split(markdown, chr(10)) AS ls FROM crawl_corpus WHERE markdown <> ''),
-      c AS (SELECT *, list_min(list_filter(range(1, len(ls) + 1), lambda i: i - 1 >= floor(len(ls) * 0.3) AND regexp_matches(regexp_replace(ls[i], '^[\\s\\x{{A0}}\\x{{FEFF}}]+|[\\s\\x{{A0}}\\x{{FEFF}}]+$', '', 'g'), '(?i){pages.RELATED_HEADING.replace("'", "''")}'))) AS cut_at FROM l)
-      SELECT crawl_id, length(CASE WHEN cut_at IS NULL THEN markdown ELSE regexp_replace(array_to_string(ls[:cut_at-1], chr(10)), '^[\\s\\x{{A0}}\\x{{FEFF}}]+|[\\s\\x{{A0}}\\x{{FEFF}}]+$', '', 'g') END)::INT AS n_chars FROM c""",
+    "page_strip_related": f"WITH t AS (SELECT crawl_id, markdown AS x FROM crawl_corpus WHERE markdown <> ''), {_strip_sql('t', 's')} SELECT crawl_id, md5(y) AS digest FROM s",
+    "page_densest_block": f"WITH t AS (SELECT crawl_id, 0 AS k, markdown AS x FROM crawl_corpus WHERE markdown <> ''), {_DENSE} SELECT crawl_id, md5(y) AS digest FROM dense",
+    "page_best_content": f"""WITH t0 AS (SELECT crawl_id, coalesce(markdown, '') AS x FROM crawl_corpus), {_strip_sql("t0", "s0")},
+      t AS (SELECT crawl_id, 0 AS k, CASE WHEN success AND markdown IS NOT NULL THEN y ELSE '' END AS x FROM s0 JOIN crawl_corpus USING (crawl_id) UNION ALL SELECT crawl_id, 1, x FROM t0), {_DENSE},
+      b AS (SELECT crawl_id, max(y) FILTER (WHERE k = 0) AS f, max(y) FILTER (WHERE k = 1) AS r FROM dense GROUP BY 1),
+      t1 AS (SELECT crawl_id, CASE WHEN length(f) > 500 THEN f WHEN length(r) > 500 THEN r WHEN f <> '' THEN f WHEN r <> '' THEN r ELSE coalesce(markdown, '') END AS x FROM b JOIN crawl_corpus USING (crawl_id)),
+      {_strip_sql("t1", "s1")} SELECT crawl_id, md5(y) AS digest FROM s1""",
     "cache_lookup": """SELECT sha256(url) AS cache_key, max_by(crawl_id, struct_pack(a := fetched_at, b := crawl_id)) AS crawl_id FROM crawl_corpus
       WHERE success AND fetched_at <= TIMESTAMPTZ '2023-06-01 00:00:00+00' AND fetched_at + INTERVAL 1440 HOUR > TIMESTAMPTZ '2023-06-01 00:00:00+00' GROUP BY 1""",
     "text_content_words": f"""WITH w AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 AND w NOT IN ({_STOP})))) AS ws FROM documents WHERE text IS NOT NULL)

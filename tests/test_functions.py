@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,11 +86,31 @@ def test_pages(spark):
     assert values(spark, [body, "## Trending\n" + "a\n" * 9], pages.strip_related) == ["\n".join(["line"] * 10), "## Trending\n" + "a\n" * 9]
 
 
-def test_densest_block():
+def test_densest_block(spark):
     nav, para = "[a](b) [c](d)", "A long paragraph of text that says something about the harbour. " * 3
     md = "\n".join([nav] * 8 + [para, "", para] + [nav] * 8)
-    assert pages.densest_block(md) == "\n".join([para, "", para]).strip()
-    assert pages.densest_block(para) == para and pages.densest_block("") == ""
+    assert values(spark, [md, para, "", None], pages.densest_block) == ["\n".join([para, "", para]).strip(), para, "", None]
+    weights = values(spark, ["", "  ", "short", "x" * 200, "x" * 95 + " [abcd](y)"], pages.line_weights)
+    assert weights == [[0], [0], [-1000], [200_000], [70_000]]
+
+
+def test_densest_run_is_the_heaviest(spark):
+    """Against all runs tried one by one, on random weights with many ties and weak lines."""
+    rng = random.Random(4)
+    cases = [[rng.choice([-1, 0, 0, 0, -1, 0.5, 3, 5, 7, 20, -40]) for _ in range(rng.randrange(0, 40))] for _ in range(300)]
+
+    def slow(w):
+        best = None
+        for i in range(len(w)):
+            for j in range(i, len(w)):
+                weak = [x < 1 for x in w[i : j + 1]]
+                if w[i] >= 5 and not any(all(weak[k : k + 6]) for k in range(len(weak) - 5)):
+                    key = (-sum(w[i : j + 1]), i, j)
+                    best = key if best is None or key < best else best
+        return best and best[1:]
+
+    got = values(spark, [[int(x * 1000) for x in w] for w in cases], pages.densest_run, "array<bigint>")
+    assert [g and tuple(g) for g in got] == [slow(w) for w in cases]
 
 
 def test_json(spark):
