@@ -23,9 +23,9 @@ from citetrail.runtime import materialise
 SHARD_DOCS = 4_000
 #: Dimensions of a sketch, and documents sampled per shard, and at most, to place the cuts: with more documents than fit
 #: LEAST sampled ones per shard the shards of one leaf are told apart by hash.
-DIMENSIONS, PER_SHARD, SAMPLE, LEAST = 96, 200, 200_000, 16
+DIMENSIONS, PER_SHARD, SAMPLE, LEAST = 96, 100, 200_000, 16
 #: Documents of a term from which its scores are multiplied densely.
-DENSE = 48
+DENSE = 256
 #: Quantile of item sizes that a neighbour must leave room for, and the part of a container it may leave unused.
 USUAL, TIGHT = 0.5, 0.004
 # The usual BM25 parameters.
@@ -174,10 +174,10 @@ def placed_by_content(bags: DataFrame, stats: Stats, shard_docs: int) -> DataFra
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"v": [v.tobytes() for v in sketches(pdf, stats)]})
+            yield pd.DataFrame({"v": [v.tobytes() for v in sketches(pdf, stats).astype(np.float16)]})
 
     drawn = bags.where(F.pmod(key, F.lit(1_000_000)) < int(each * 1_000_000) + 1).mapInPandas(draw, "v binary").orderBy("v").collect()
-    sample = np.array([np.frombuffer(r.v, np.float32) for r in drawn]).reshape(-1, DIMENSIONS)
+    sample = np.array([np.frombuffer(r.v, np.float16) for r in drawn], np.float32).reshape(-1, DIMENSIONS)
     nodes = cut_tree(sample, max(LEAST, shard_docs * len(sample) / stats.n)) if len(sample) else []
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
