@@ -237,17 +237,21 @@ def pack(sizes: np.ndarray, capacity: int, index: Bm25) -> list[list[tuple[int,
             # What does not fit now never will, and the first one taken must be good now.
             left = room - rest
             can = unused & (left >= 0)
-            near = index.neighbours(int(seed), can, len(rest)) if (can & ((left >= usual) | (left <= tight))).any() else np.zeros(0, np.int64)
-            fits, at = rest[near], 0
-            while room >= smallest and at < len(near):
-                left = room - fits[at:]
+            score = np.where(can, index.scores[seed], 0) if (can & ((left >= usual) | (left <= tight))).any() else np.zeros(0)
+            near = np.flatnonzero(score > 0)  # unused neighbours; taken best first, of equal ones the earlier
+            score, fits = score[near], rest[near]
+            while room >= smallest and len(near):
+                left = room - fits
                 # A neighbour may leave room that items usually fill, or next to none; the last place is for the best fit.
                 good = (left >= usual) | ((left >= 0) & (left <= tight))
-                k = int(good.argmax())
+                k = int(np.where(good, score, 0).argmax())
                 if not good[k]:
                     break
-                room -= take(near[at + k], bin_)
-                at += k + 1
+                room -= take(near[k], bin_)
+                # What was passed over did not fit then.
+                after = score < score[k]
+                after[k + 1 :] |= score[k + 1 :] == score[k]
+                near, score, fits = near[after], score[after], fits[after]
         while room >= smallest:
             p = nearest(int(np.searchsorted(sorted_rest, room, "right")) - 1)
             if p < least:
