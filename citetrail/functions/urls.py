@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Query parameters that only track, and what is no page of text.
@@ -23,6 +23,13 @@ def is_url(url: Column) -> Column:
     return F.coalesce(url.rlike(_URL), F.lit(False))
 
 
+def split_requests(rows: DataFrame, url: str = "url") -> tuple[DataFrame, DataFrame]:
+    """Rows whose address can be asked for, and the rejects with `reason`: `empty` or `not an address`."""
+    blank = F.trim(F.coalesce(F.col(url), F.lit(""))) == ""
+    rejects = rows.where(~is_url(F.col(url))).withColumn("reason", F.when(blank, "empty").otherwise("not an address"))
+    return rows.where(is_url(F.col(url))), rejects
+
+
 def host_of(url: Column) -> Column:
     return F.lower(_part(url, 2))
 

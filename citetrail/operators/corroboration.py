@@ -58,3 +58,9 @@ def shared_context(edges: DataFrame, triples: DataFrame, most: int = 10) -> Data
     hits = edges.join(a, ["scope", "source"]).join(b, ["scope", "target", "lo", "hi"])
     ordered = F.array_sort(F.collect_list(F.struct("lo", "hi", "source_predicates", "target_predicates")))
     return hits.groupBy("scope", "edge_id").agg(F.slice(ordered, 1, most).alias("shared"))
+
+
+def entity_nodes(triples: DataFrame) -> DataFrame:
+    """scope, entity, nodes: per analysis and entity (lower case) the nodes whose triples name it, in order; empty names are none."""
+    ends = triples.select("scope", "node", F.explode(F.array(F.lower("subject"), F.lower("object"))).alias("entity")).where("entity <> ''").distinct()
+    return ends.groupBy("scope", "entity").agg(F.array_sort(F.collect_list("node")).alias("nodes"))

@@ -21,3 +21,13 @@ def edge_summary(scopes: DataFrame, edges: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_edges"),
     )
     return scopes.select("scope").distinct().join(per, "scope", "left").fillna(0)
+
+
+def extraction_counts(claims: DataFrame, entities: DataFrame, triples: DataFrame) -> DataFrame:
+    """scope, n_claims, n_entities, n_triples: what was extracted per analysis; one pass, summed before rows move."""
+    tables = [("n_claims", claims), ("n_entities", entities), ("n_triples", triples)]
+    rows = None
+    for name, df in tables:
+        part = df.select("scope", *[F.lit(int(name == n)).cast("long").alias(n) for n, _ in tables])
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("scope").agg(*[F.sum(n).alias(n) for n, _ in tables])

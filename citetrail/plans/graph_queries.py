@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citetrail.functions import dates, jsonval, levels, urls
+from citetrail.functions import dates, jsonval, levels, pages, urls
 from citetrail.functions.text import STOP_WORDS, claim_key, content_words
 from citetrail.operators import consolidate, corroboration, frontier, summary, tree
 from citetrail.plans import page_queries, views
 from citetrail.runtime import load
+from citetrail.sources import store
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
@@ -37,7 +38,7 @@ def shared_pair_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 def temporal_gaps(spark: SparkSession, d: str) -> DataFrame:
-    day = F.when(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("date").try_cast("date"))
+    day = F.regexp_extract("date", r"^\s*(\d{4}-\d{2}-\d{2})(?:[T\s]|$)", 1).try_cast("date")
     nodes = views.live_nodes(spark, d).select("scope", "node", day.alias("day"))
     e = _edges(spark, d).join(nodes.select("scope", F.col("node").alias("source"), F.col("day").alias("a")), ["scope", "source"]).join(nodes.select("scope", F.col("node").alias("target"), F.col("day").alias("b")), ["scope", "target"])
     return e.where("a is not null and b is not null").select("edge_id", F.coalesce(dates.temporal_gap(F.col("a"), F.col("b")), F.lit("")).alias("gap"))
@@ -151,18 +152,45 @@ def relative_times(spark: SparkSession, d: str) -> DataFrame:
 
 
 def analysis_reload(spark: SparkSession, d: str) -> DataFrame:
-    """Each analysis put together from its tables: its nodes, edges and claims as ordered text."""
-    head = load(spark, d, "analyses").groupBy(F.col("id").alias("scope")).agg(F.min("article_url").alias("article_url"))
-    nodes = views.live_nodes(spark, d).groupBy("scope").agg(F.array_join(F.array_sort(F.collect_list("node")), ",").alias("nodes"))
-    edges = _edges(spark, d).groupBy("scope").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(">", "source", "target"))), ",").alias("edges"))
-    claims = views.live_claims(spark, d).groupBy("scope", "node").agg(F.count(F.lit(1)).alias("n")).groupBy("scope").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "node", "n"))), ",").alias("claims"))
-    out = head.join(nodes, "scope", "left").join(edges, "scope", "left").join(claims, "scope", "left")
-    return out.select("scope", "article_url", *(F.coalesce(c, F.lit("")).alias(c) for c in ("nodes", "edges", "claims")))
+    """Each stored analysis put together by the store, its parts written as text."""
+    order = F.struct("loaded_at", F.col("id").alias("_id")).alias("ord")
+    head = load(spark, d, "analyses").groupBy("id").agg(F.min_by(F.struct(*[c for c in load(spark, d, "analyses").columns if c not in ("id", "created_at")]), F.struct("created_at", "article_url", "article_date", "summary_text")).alias("r"))
+    tables = {
+        "analyses": head.select(F.col("id").alias("scope"), "r.*"),
+        "nodes": views.live_nodes(spark, d).select("scope", "node", "title", "url", "publisher", "date", "source_type", "snippet", "phantom", "phantom_key", order),
+        "edges": views.live_edges(spark, d).select("scope", F.col("id").alias("edge_id"), "source", "target", "source_fidelity", "editorialization", "metric_source_type", "corroboration", order),
+        "claims": views.live_claims(spark, d).select("scope", "node", "claim_text", "attribution", order),
+    }
+    empty = F.lit("")
+    node = lambda n: F.concat_ws(":", n["id"], F.coalesce(n["url"], empty), F.coalesce(n["phantom_key"], empty), F.when(n["attributed_claims"].isNull(), "-").otherwise(F.size(n["attributed_claims"]).cast("string")))
+    edge = lambda e: F.concat_ws(">", e["source"], e["target"], e["metrics"]["corroboration"], F.size(e["concerns"]).cast("string"))
+    said = lambda e: F.concat_ws(":", e["key"], F.array_join(F.transform(e["value"], lambda c: F.md5(F.concat(F.coalesce(c["claim"], empty), F.lit("/"), F.coalesce(c["attribution"], empty)))), "+"))
+    return store.reassemble(tables).select(
+        "scope", "article_url", F.coalesce("summary.text", empty).alias("summary_text"), F.col("summary.concern_count").alias("concern_count"), F.col("summary.strong_corroboration").alias("strong_corroboration"),
+        F.coalesce(F.array_join(F.transform("nodes", node), ","), empty).alias("nodes"), F.coalesce(F.array_join(F.transform("edges", edge), ","), empty).alias("edges"),
+        F.coalesce(F.array_join(F.transform(F.map_entries("claims"), said), ","), empty).alias("claims"),
+    )
 
 
 def entity_dictionary(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "entities").where("canonical_name <> ''").withColumn("key", F.lower("canonical_name"))
-    return consolidate.first_per_key(rows, ["analysis_id", "key"], ["id", "canonical_name"]).select("analysis_id", "key", "canonical_name", "entity_type")
+    return store.entity_table(*views.extracted(spark, d))
+
+
+def entity_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Per analysis and entity the nodes whose claims name it."""
+    return corroboration.entity_nodes(views.extracted(spark, d)[0]).select("scope", "entity", F.array_join("nodes", ",").alias("nodes"))
+
+
+def extraction_counts(spark: SparkSession, d: str) -> DataFrame:
+    triples, lists = views.extracted(spark, d)
+    return summary.extraction_counts(views.live_claims(spark, d).select("scope"), store.entity_table(triples, lists), triples)
+
+
+def request_check(spark: SparkSession, d: str) -> DataFrame:
+    """Which of what may stand where an address should can be asked for, and why the rest cannot."""
+    rows = load(spark, d, "analyses").select(F.col("article_url").alias("url")).unionByName(load(spark, d, "source_nodes").select(F.col("publisher").alias("url"))).distinct()
+    good, rejects = urls.split_requests(rows)
+    return good.withColumn("reason", F.lit("")).unionByName(rejects)
 
 
 def entity_index(spark: SparkSession, d: str) -> DataFrame:
@@ -171,10 +199,10 @@ def entity_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def triple_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """Triples whose subject and object are both known: people as attributed, objects as words of the texts."""
-    t = views.claim_triples(views.live_claims(spark, d))
-    subjects = t.select(F.lower("subject").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n >= 5").select("key", F.xxhash64("key").alias("h"))
-    return t.join(subjects.select(F.col("key").alias("_k")), F.lower("subject") == F.col("_k")).groupBy("scope", F.col("_k").alias("subject_key")).agg(F.count(F.lit(1)).alias("n_triples"))
+    """Triples whose ends are both in the analysis's dictionary of entities, by key."""
+    triples, lists = views.extracted(spark, d)
+    out = store.resolve_triples(triples, store.entity_table(triples, lists))
+    return out.groupBy("scope", "subject_key", "object_key").agg(F.count(F.lit(1)).alias("n_triples"))
 
 
 def claim_dedupe(spark: SparkSession, d: str) -> DataFrame:
@@ -186,7 +214,7 @@ def node_names_entity(spark: SparkSession, d: str) -> DataFrame:
     """Whether a node's title or snippet names someone its analysis's article quotes."""
     names = views.live_claims(spark, d).where("node = 'article' and attribution <> ''").groupBy("scope").agg(F.collect_set(F.lower("attribution")).alias("names"))
     nodes = views.live_nodes(spark, d).join(names, "scope")
-    return nodes.select("scope", "node", F.exists("names", lambda e: F.contains(F.lower(F.concat_ws(" ", "title", "snippet")), e)).alias("topical"))
+    return nodes.select("scope", "node", pages.names_entity(F.lower(F.concat_ws(" ", "title", "snippet")), F.col("names")).alias("topical"))
 
 
 def unverified_lists(spark: SparkSession, d: str) -> DataFrame:
@@ -216,6 +244,11 @@ close AS (SELECT DISTINCT e.scope, e.id AS edge_id FROM live_edges e JOIN ok a O
 _MENTION_SQL = """
 mention AS (SELECT e.scope, e.target AS parent, e.loaded_at, e.id AS edge_id, coalesce(trim(n.phantom_key), '') AS key, n.title FROM live_edges e JOIN live_nodes n ON n.scope = e.scope AND n.node = e.source WHERE n.phantom)"""
 
+_PHANTOM_PAIRS = f"""w AS (SELECT scope, node, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(concat_ws(' ', coalesce(title, ''), coalesce(publisher, ''))), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'),
+        lambda x: length(x) > 2 AND x NOT IN ({", ".join(f"'{x}'" for x in STOP_WORDS)}))) AS s FROM live_nodes WHERE phantom), k AS (SELECT * FROM w WHERE len(s) >= 2),
+      alike AS (SELECT a.scope, a.node AS a, b.node AS b, len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) AS jaccard
+      FROM k a JOIN k b ON a.scope = b.scope AND a.node < b.node WHERE len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.4 - 1e-12)"""
+
 SQL = {
     "matched_pairs": f"{_NODE_SQL}, {_MATCH} SELECT scope, edge_id, matched FROM m",
     "similar_claim_edges": f"{_NODE_SQL}, {_CLOSE} SELECT scope, edge_id FROM close",
@@ -226,7 +259,7 @@ SQL = {
     "shared_pair_context": f"""{_NODE_SQL}, bp AS (SELECT scope, node, least(lower(subject), lower(object)) AS lo, greatest(lower(subject), lower(object)) AS hi, array_to_string(list_sort(list(DISTINCT predicate)), ',') AS ps FROM triples GROUP BY ALL),
       h AS (SELECT e.scope, e.id AS edge_id, a.lo, a.hi, a.ps AS p1, b.ps AS p2, row_number() OVER (PARTITION BY e.scope, e.id ORDER BY a.lo, a.hi) AS r FROM live_edges e JOIN bp a ON a.scope = e.scope AND a.node = e.source JOIN bp b ON b.scope = e.scope AND b.node = e.target AND a.lo = b.lo AND a.hi = b.hi)
       SELECT scope, edge_id, string_agg(lo || '|' || hi || '|' || p1 || '|' || p2, ';' ORDER BY lo, hi) AS shared FROM h WHERE r <= 10 GROUP BY ALL""",
-    "temporal_gaps": f"""{_NODE_SQL}, n AS (SELECT scope, node, CASE WHEN regexp_matches(date, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN try_cast(date AS DATE) END AS day FROM live_nodes),
+    "temporal_gaps": f"""{_NODE_SQL}, n AS (SELECT scope, node, try_cast(regexp_extract(date, '^\\s*(\\d{{4}}-\\d{{2}}-\\d{{2}})(?:[T\\s]|$)', 1) AS DATE) AS day FROM live_nodes),
       g AS (SELECT e.id AS edge_id, date_diff('day', a.day, b.day) AS k FROM live_edges e JOIN n a ON a.scope = e.scope AND a.node = e.source JOIN n b ON b.scope = e.scope AND b.node = e.target WHERE a.day IS NOT NULL AND b.day IS NOT NULL)
       SELECT edge_id, CASE WHEN k > 14 THEN CASE WHEN floor(k / 30 + 0.5) >= 2 THEN '~' || floor(k / 30 + 0.5)::INT || ' months older' ELSE '~' || floor(k / 7 + 0.5)::INT || ' weeks older' END
         WHEN k < -14 THEN '~' || floor(-k / 7 + 0.5)::INT || ' weeks newer' ELSE '' END AS gap FROM g""",
@@ -246,10 +279,7 @@ SQL = {
       a AS (SELECT x.scope, x.node, min(x.node) OVER (PARTITION BY x.scope, n.norm_url) AS leader FROM live_nodes x JOIN n ON n.url = x.url), m AS (SELECT * FROM a WHERE node <> leader),
       moved AS (SELECT e.scope, e.id AS edge_id, e.loaded_at, coalesce(s.leader, e.source) AS source, coalesce(t.leader, e.target) AS target FROM live_edges e LEFT JOIN m s ON s.scope = e.scope AND s.node = e.source LEFT JOIN m t ON t.scope = e.scope AND t.node = e.target)
       SELECT scope, edge_id, source, target FROM (SELECT *, row_number() OVER (PARTITION BY scope, source, target ORDER BY loaded_at DESC, edge_id DESC) AS r FROM moved WHERE source <> target) WHERE r = 1""",
-    "phantom_merge_pairs": f"""{_NODE_SQL}, w AS (SELECT scope, node, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(concat_ws(' ', coalesce(title, ''), coalesce(publisher, ''))), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'),
-        lambda x: length(x) > 2 AND x NOT IN ({", ".join(f"'{x}'" for x in STOP_WORDS)}))) AS s FROM live_nodes WHERE phantom), k AS (SELECT * FROM w WHERE len(s) >= 2)
-      SELECT a.scope, a.node AS a, b.node AS b, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS jaccard
-      FROM k a JOIN k b ON a.scope = b.scope AND a.node < b.node WHERE len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.4 - 1e-12""",
+    "phantom_merge_pairs": f"WITH {views.SQL}, {_PHANTOM_PAIRS} SELECT scope, a, b, round(jaccard, 6) AS jaccard FROM alike",
     "unverified_lists": """WITH l AS (SELECT DISTINCT id, CASE WHEN json_valid(summary_unverified_claims) THEN CASE WHEN json_type(summary_unverified_claims) = 'ARRAY'
         THEN list_transform(list_filter(json_extract(summary_unverified_claims, '$[*]'), lambda x: json_type(x) = 'VARCHAR'), lambda x: json_extract_string(x, '$')) END END AS items FROM analyses WHERE summary_unverified_claims IS NOT NULL)
       SELECT id, coalesce(len(items), 0)::INT AS n_items, coalesce(array_to_string(items, '|'), '') AS items FROM l""",
@@ -273,12 +303,33 @@ SQL = {
     "recent_list": "SELECT id, epoch_us(created_at) AS created_us, coalesce(nullif(article_title, ''), nullif(article_url, '')) AS title, coalesce(nullif(article_publisher, ''), NULL) AS publisher FROM (SELECT DISTINCT * FROM analyses) ORDER BY created_at DESC, id LIMIT 10",
     "relative_times": """WITH t AS (SELECT DISTINCT id, floor((epoch_us(TIMESTAMPTZ '2025-12-31 12:00:00+00') - epoch_us(created_at)) / 1000000)::BIGINT AS s FROM analyses)
       SELECT DISTINCT id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' ELSE (s // 86400) || 'd ago' END AS ago FROM t""",
-    "analysis_reload": f"""{_NODE_SQL}, n AS (SELECT scope, string_agg(node, ',' ORDER BY node) AS nodes FROM live_nodes GROUP BY 1), e AS (SELECT scope, string_agg(source || '>' || target, ',' ORDER BY source || '>' || target) AS edges FROM live_edges GROUP BY 1),
-      k AS (SELECT scope, node || ':' || count(*) AS x FROM live_claims GROUP BY scope, node), c AS (SELECT scope, string_agg(x, ',' ORDER BY x) AS claims FROM k GROUP BY 1), h AS (SELECT id AS scope, min(article_url) AS article_url FROM analyses GROUP BY 1)
-      SELECT h.scope, article_url, coalesce(nodes, '') AS nodes, coalesce(edges, '') AS edges, coalesce(claims, '') AS claims FROM h LEFT JOIN n USING (scope) LEFT JOIN e USING (scope) LEFT JOIN c USING (scope)""",
-    "entity_dictionary": "SELECT analysis_id, lower(canonical_name) AS key, canonical_name, entity_type FROM (SELECT *, row_number() OVER (PARTITION BY analysis_id, lower(canonical_name) ORDER BY id, canonical_name) AS r FROM entities WHERE canonical_name <> '') WHERE r = 1",
+    "analysis_reload": f"""{_NODE_SQL}, n AS (SELECT scope, string_agg(node || ':' || coalesce(url, '') || ':' || CASE WHEN phantom THEN coalesce(phantom_key, '') ELSE '' END || CASE WHEN phantom THEN ':0' ELSE ':-' END, ',' ORDER BY loaded_at, id) AS nodes FROM live_nodes GROUP BY 1),
+      e AS (SELECT scope, string_agg(concat_ws('>', source, target, corroboration, '0'), ',' ORDER BY loaded_at, id) AS edges FROM live_edges GROUP BY 1),
+      k AS (SELECT scope, node, node || ':' || string_agg(md5(coalesce(claim_text, '') || '/' || coalesce(attribution, '')), '+' ORDER BY loaded_at, id) AS x FROM live_claims GROUP BY scope, node), c AS (SELECT scope, string_agg(x, ',' ORDER BY node) AS claims FROM k GROUP BY 1),
+      h AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at, article_url, article_date NULLS FIRST, summary_text NULLS FIRST) AS r FROM analyses)
+      SELECT h.id AS scope, article_url, CASE WHEN summary_text <> '' THEN summary_text ELSE '' END AS summary_text, CASE WHEN summary_text <> '' THEN coalesce(summary_concern_count, 0)::BIGINT END AS concern_count,
+        CASE WHEN summary_text <> '' THEN coalesce(summary_strong_corroboration, 0)::BIGINT END AS strong_corroboration, coalesce(nodes, '') AS nodes, coalesce(edges, '') AS edges, coalesce(claims, '') AS claims
+      FROM h LEFT JOIN n ON n.scope = h.id LEFT JOIN e ON e.scope = h.id LEFT JOIN c ON c.scope = h.id WHERE r = 1""",
+    "entity_dictionary": f"{_NODE_SQL} SELECT scope, key, name, type FROM dictionary",
+    "entity_nodes": f"{_NODE_SQL}, x AS (SELECT scope, lower(subject) AS entity, node FROM triples WHERE subject <> '' UNION SELECT scope, lower(object), node FROM triples) SELECT scope, entity, string_agg(node, ',' ORDER BY node) AS nodes FROM x GROUP BY 1, 2",
+    "extraction_counts": f"""{_NODE_SQL}, x AS (SELECT scope, 'c' AS k FROM live_claims UNION ALL SELECT scope, 'e' FROM dictionary UNION ALL SELECT scope, 't' FROM triples)
+      SELECT scope, count(*) FILTER (WHERE k = 'c') AS n_claims, count(*) FILTER (WHERE k = 'e') AS n_entities, count(*) FILTER (WHERE k = 't') AS n_triples FROM x GROUP BY 1""",
+    "request_check": r"""WITH u AS (SELECT article_url AS url FROM analyses UNION SELECT publisher FROM source_nodes)
+      SELECT url, CASE WHEN regexp_matches(coalesce(url, ''), '^\s*([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^/?#@]*@)?([^/?#:\s]+)(:\d*)?([^?#]*)(\?[^#]*)?(#.*)?$') THEN '' WHEN trim(coalesce(url, '')) = '' THEN 'empty' ELSE 'not an address' END AS reason FROM u""",
     "entity_index": "SELECT lower(canonical_name) AS entity, count(DISTINCT analysis_id) AS n_analyses FROM entities WHERE canonical_name <> '' AND analysis_id IS NOT NULL GROUP BY 1",
-    "triple_resolution": f"{_NODE_SQL}, s AS (SELECT lower(subject) AS k FROM triples GROUP BY 1 HAVING count(*) >= 5) SELECT scope, k AS subject_key, count(*) AS n_triples FROM triples JOIN s ON lower(subject) = k GROUP BY ALL",
+    "triple_resolution": f"{_NODE_SQL} SELECT t.scope, lower(subject) AS subject_key, lower(object) AS object_key, count(*) AS n_triples FROM triples t JOIN dictionary a ON a.scope = t.scope AND a.key = lower(subject) JOIN dictionary b ON b.scope = t.scope AND b.key = lower(object) GROUP BY ALL",
+    # A scope's phantoms in order, one more each round: a node leads if no leader so far is similar.
+    "phantom_leaders": f"""WITH RECURSIVE {views.SQL}, {_PHANTOM_PAIRS}, o AS (SELECT scope, node, row_number() OVER (PARTITION BY scope ORDER BY node) AS i FROM live_nodes WHERE phantom),
+      near AS (SELECT scope, b AS node, list(a ORDER BY a) AS before FROM alike GROUP BY 1, 2), q AS (SELECT o.*, coalesce(before, []) AS before FROM o LEFT JOIN near USING (scope, node)),
+      s AS (SELECT scope, 0 AS i, []::VARCHAR[] AS lead, NULL::VARCHAR AS id, NULL::VARCHAR AS leader FROM o WHERE i = 1
+        UNION ALL SELECT q.scope, q.i, CASE WHEN len(list_filter(q.before, lambda x: list_contains(s.lead, x))) = 0 THEN list_append(s.lead, q.node) ELSE s.lead END, q.node, coalesce(list_filter(q.before, lambda x: list_contains(s.lead, x))[1], q.node) FROM s JOIN q ON q.scope = s.scope AND q.i = s.i + 1)
+      SELECT scope, id, leader FROM s WHERE id IS NOT NULL""",
+    # A scope's walk, one node each round: the stack holds (node, edge, parent, depth), what is entered holds nodes.
+    "source_tree": f"""WITH RECURSIVE {views.SQL}, kids AS (SELECT scope, target, list({{'node': source, 'edge': id}} ORDER BY loaded_at, id) AS below FROM live_edges GROUP BY 1, 2),
+      s AS (SELECT DISTINCT scope, -1 AS place, [{{'node': 'article', 'edge': NULL::VARCHAR, 'parent': NULL::VARCHAR, 'depth': 0}}] AS stack, []::VARCHAR[] AS entered, NULL::STRUCT(node VARCHAR, edge VARCHAR, parent VARCHAR, depth INT) AS shown FROM live_edges
+        UNION ALL SELECT t.scope, t.place + 1, list_concat(list_transform(list_filter(coalesce(below, []), lambda k: k.node <> t.top.node AND NOT list_contains(t.entered, k.node)), lambda k: {{'node': k.node, 'edge': k.edge, 'parent': t.top.node, 'depth': t.top.depth + 1}}), t.rest), list_append(t.entered, t.top.node), t.top
+          FROM (SELECT scope, place, stack[1] AS top, stack[2:] AS rest, entered FROM s WHERE len(stack) > 0) t LEFT JOIN kids ON kids.scope = t.scope AND kids.target = t.top.node)
+      SELECT scope, place, shown.depth AS depth, shown.node AS node_id, shown.edge AS edge_id, shown.parent AS parent_id FROM s WHERE shown IS NOT NULL""",
     "claim_dedupe": f"{_NODE_SQL} SELECT scope, node, id AS claim_id FROM (SELECT * EXCLUDE (r), row_number() OVER (PARTITION BY scope, node, left(lower(claim_text), 80) ORDER BY loaded_at, id) AS r FROM live_claims) WHERE r = 1",
     "node_names_entity": f"""{_NODE_SQL}, a AS (SELECT scope, list(DISTINCT lower(attribution)) AS names FROM live_claims WHERE node = 'article' AND attribution <> '' GROUP BY 1)
       SELECT n.scope, n.node, len(list_filter(names, lambda e: contains(lower(concat_ws(' ', n.title, n.snippet)), e))) > 0 AS topical FROM live_nodes n JOIN a USING (scope)""",
@@ -290,6 +341,6 @@ QUERIES = {
     for f in (
         corroboration_levels, matched_pairs, similar_claim_edges, shared_pair_context, temporal_gaps, frontier_topk, candidate_parents, phantom_budget, phantom_first_mention, phantom_merge_pairs, phantom_leaders,
         match_candidates, same_address_remap, edge_dedupe_last, noise_prune, unsubstantiated_nodes, unsubstantiated_claims, edge_summary, edge_levels, graph_counts, recent_list, relative_times, analysis_reload,
-        entity_dictionary, entity_index, triple_resolution, claim_dedupe, node_names_entity, unverified_lists, event_numbers, source_tree,
+        entity_dictionary, entity_nodes, extraction_counts, request_check, entity_index, triple_resolution, claim_dedupe, node_names_entity, unverified_lists, event_numbers, source_tree,
     )
 }

@@ -28,14 +28,27 @@ def live_claims(spark: SparkSession, d: str) -> DataFrame:
     return last_per_pair(rows, ["id"], ["loaded_at", "scope", "node"])
 
 
-def claim_triples(claims: DataFrame) -> DataFrame:
-    """scope, node, subject, predicate, object: who says it, the text's second word, its last word."""
+def claim_triples(claims: DataFrame, *more: str) -> DataFrame:
+    """scope, node, subject, predicate, object, and columns named: who says it, the text's second word, its last word."""
     words = F.split("claim_text", " ")
     return claims.where("attribution <> '' and claim_text like '% % %'").select(
-        "scope", "node", F.col("attribution").alias("subject"), F.lower(words[1]).alias("predicate"), F.regexp_replace(F.element_at(words, -1), "[^A-Za-z]", "").alias("object")
+        "scope", "node", F.col("attribution").alias("subject"), F.lower(words[1]).alias("predicate"), F.regexp_replace(F.element_at(words, -1), "[^A-Za-z]", "").alias("object"), *more
     ).where("object <> ''")
 
 
+def extracted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """What models would have extracted, in the columns the store takes: triples of the claims, and lists of entities.
+
+    A triple's ord is (loaded_at, id) of its claim; the lists are the rows of entities, after all claims.
+    """
+    claims = live_claims(spark, d).select("scope", "node", "attribution", "claim_text", F.struct("loaded_at", "id").alias("ord"))
+    ends = claim_triples(claims.withColumn("_o", F.col("ord")), "_o").withColumnRenamed("_o", "ord")
+    triples = ends.select("scope", "node", "ord", F.lit(0).alias("pos"), "subject", F.lit("person").alias("subjectType"), "predicate", "object", F.lit("concept").alias("objectType"))
+    rows = load(spark, d, "entities").where("analysis_id is not null")
+    lists = rows.select(F.col("analysis_id").alias("scope"), F.struct(F.lit("9999-01-01 00:00:00").cast("timestamp").alias("loaded_at"), "id").alias("ord"), F.array(F.coalesce("canonical_name", F.lit(""))).alias("entities"))
+    return triples, lists
+
+
 #: CTEs of the same views.
 SQL = """
 live_nodes AS (
@@ -53,6 +66,12 @@ live_claims AS (
     FROM claims WHERE trim(source_node_id) <> '' AND analysis_id IS NOT NULL) WHERE r = 1),
 triples AS (
   SELECT * FROM (
-    SELECT scope, node, attribution AS subject, lower(string_split(claim_text, ' ')[2]) AS predicate, regexp_replace(string_split(claim_text, ' ')[-1], '[^A-Za-z]', '', 'g') AS object
-    FROM live_claims WHERE attribution <> '' AND claim_text LIKE '% % %') WHERE object <> '')
+    SELECT scope, node, loaded_at, id, attribution AS subject, lower(string_split(claim_text, ' ')[2]) AS predicate, regexp_replace(string_split(claim_text, ' ')[-1], '[^A-Za-z]', '', 'g') AS object
+    FROM live_claims WHERE attribution <> '' AND claim_text LIKE '% % %') WHERE object <> ''),
+dictionary AS (
+  SELECT scope, key, arg_min(name, o) AS name, arg_min(type, o) AS type FROM (
+    SELECT scope, lower(subject) AS key, subject AS name, 'person' AS type, {'a': loaded_at, 'b': id, 'k': 0} AS o FROM triples WHERE subject <> ''
+    UNION ALL SELECT scope, lower(object), object, 'concept', {'a': loaded_at, 'b': id, 'k': 1} FROM triples
+    UNION ALL SELECT analysis_id, lower(canonical_name), canonical_name, 'concept', {'a': TIMESTAMPTZ '9999-01-01 00:00:00+00', 'b': id, 'k': 2} FROM entities WHERE canonical_name <> '' AND analysis_id IS NOT NULL)
+  GROUP BY ALL)
 """

@@ -108,7 +108,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 @atexit.register
-def _drop_all() -> None:
+def drop_all() -> None:
+    """Remove all scratch tables of this process: at its end, and in a long session when no result made so far is read any more."""
     for path, spark in list(_written.items()):
         if spark.sparkContext._jsc is not None:
             _delete(spark, path)
