@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citetrail.runtime import drop, materialise
+from citetrail.runtime import Growing, drop, materialise
 
 
 def similar_sets(sets: DataFrame, least: float) -> DataFrame:
@@ -36,35 +36,25 @@ def leaders(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
     A node is a leader when no leader before it is similar; every other goes to the first leader similar to it, and
     draws nothing to itself. nodes(scope, id, ord) with unique ids, pairs(scope, a, b). Nodes without pairs lead themselves.
-    Each round settles the nodes without open or leading neighbours before them, and then what their leaders draw.
+    Each round lets the nodes without an open neighbour before them lead, and takes away what they draw; only the links
+    between open nodes are written again, and only who is drawn is kept.
     """
     order = nodes.select("scope", "id", "ord")
     links = pairs.join(order.select("scope", F.col("id").alias("a"), F.col("ord").alias("ao")), ["scope", "a"]).join(order.select("scope", F.col("id").alias("b"), F.col("ord").alias("bo")), ["scope", "b"])
     up = F.col("ao") < F.col("bo")
     links = materialise(links.select("scope", F.when(up, F.col("a")).otherwise(F.col("b")).alias("lo"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("hi"), F.least("ao", "bo").alias("ord")).distinct())
-    touched = links.select("scope", F.col("lo").alias("id")).unionByName(links.select("scope", F.col("hi").alias("id"))).distinct()
-    open_ = materialise(touched)
+    drawn = Growing(links.select("scope", F.col("hi").alias("id")).where("1 = 0"))
     live = links
-    found = None
-    while not open_.isEmpty():
-        # An open node with no open node before it (those drawn away are gone from `live`) leads.
-        first = materialise(open_.join(live.select("scope", F.col("hi").alias("id")).distinct(), ["scope", "id"], "left_anti"))
-        drawn = live.join(first.select("scope", F.col("id").alias("lo")), ["scope", "lo"]).groupBy("scope", F.col("hi").alias("id")).agg(F.min_by("lo", "ord").alias("leader"))
-        settled = materialise(first.withColumn("leader", F.col("id")).unionByName(drawn))
-        # A node drawn by one leader may have an earlier leader settled in a later round, so only the least of all counts.
-        found = settled if found is None else found.unionByName(settled)
-        gone = settled.select("scope", "id")
-        new_open = materialise(open_.join(gone, ["scope", "id"], "left_anti"))
-        new_live = materialise(live.join(gone.withColumnRenamed("id", "lo"), ["scope", "lo"], "left_anti").join(gone.withColumnRenamed("id", "hi"), ["scope", "hi"], "left_anti"))
-        drop(open_)
-        open_, live = new_open, new_live
-    if found is None:
-        return nodes.select("scope", "id", F.col("id").alias("leader"))
-    # Of all leaders similar to a node the first one counts.
-    lead = found.where("id = leader").select("scope", F.col("id").alias("lo"))
-    best = links.join(lead, ["scope", "lo"]).groupBy("scope", F.col("hi").alias("id")).agg(F.min_by("lo", "ord").alias("best"))
-    out = nodes.select("scope", "id").join(best, ["scope", "id"], "left").join(lead.select("scope", F.col("lo").alias("id"), F.lit(True).alias("leads")), ["scope", "id"], "left")
-    return out.select("scope", "id", F.when(F.col("leads"), F.col("id")).otherwise(F.coalesce("best", "id")).alias("leader"))
+    while not live.isEmpty():
+        first = live.join(live.select("scope", F.col("hi").alias("lo")).distinct(), ["scope", "lo"], "left_anti")
+        new = drawn.add(first.select("scope", F.col("hi").alias("id")).distinct())
+        # What leads has only links to what it draws, so these go with them.
+        left = materialise(live.join(new.withColumnRenamed("id", "lo"), ["scope", "lo"], "left_anti").join(new.withColumnRenamed("id", "hi"), ["scope", "hi"], "left_anti"))
+        if live is not links:
+            drop(live)
+        live = left
+    led = links.join(drawn.read().withColumnRenamed("id", "lo"), ["scope", "lo"], "left_anti").groupBy("scope", F.col("hi").alias("id")).agg(F.min_by("lo", "ord").alias("leader"))
+    return nodes.select("scope", "id").join(led, ["scope", "id"], "left").select("scope", "id", F.coalesce("leader", "id").alias("leader"))
 
 
 def redirect_edges(edges: DataFrame, remap: DataFrame) -> DataFrame:
