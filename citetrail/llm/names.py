@@ -25,11 +25,9 @@ FILLERS = "the of for and fur und der die das de du des la le les et del von".sp
 LEGAL = "limited ltd corporation corp inc incorporated company co gmbh ag plc llc sa bv nv online".split()
 # Words and their usual abbreviations.
 ABBREVIATED = {
-    "department": "dept dep", "institute": "inst instit", "university": "univ uni", "foundation": "fdn found fndn", "association": "assn assoc", "international": "intl int",
-    "national": "natl nat", "government": "govt", "science": "sci", "sciences": "scis", "medicine": "med", "statistics": "stats stat", "research": "res", "centre": "center ctr",
-    "laboratory": "lab", "technology": "tech", "engineering": "eng engg", "management": "mgmt", "development": "dev", "committee": "cttee", "council": "cncl", "group": "grp", "brothers": "bros",
-    "chronicle": "chron chrncl", "observer": "obs obsvr obsrvr", "courier": "cour courr crr crier crrr", "gazette": "gaz gztt", "tribune": "trib tribn trbn", "review": "rev revw rvw", "monitor": "mon mntr", "bulletin": "bull blltn",
-    "ledger": "ldgr led", "dispatch": "disp dsptch", "herald": "hrld", "journal": "jour jrnl", "times": "tms", "post": "pst", "mercury": "merc", "telegraph": "tele",
+    "department": "dept dep", "institute": "inst instit", "university": "univ uni", "foundation": "fdn found fndn", "association": "assn assoc", "international": "intl int", "national": "natl nat", "government": "govt",
+    "science": "sci", "sciences": "scis", "medicine": "med", "statistics": "stats stat", "research": "res", "centre": "center ctr", "laboratory": "lab", "technology": "tech", "engineering": "eng engg",
+    "management": "mgmt", "development": "dev", "committee": "cttee", "council": "cncl", "group": "grp", "brothers": "bros",
 }
 # Given names and their short forms.
 NICKNAMES = {
@@ -45,17 +43,17 @@ NICKNAMES = {
 
 _FULL = {a: w for table in (ABBREVIATED, NICKNAMES) for w, short in table.items() for a in short.split()}
 _GIVEN = set(NICKNAMES)
+_VOWELS = frozenset("aeiou")
+_NUMBER = re.compile(r"\d")
 _PARTS = re.compile(r"[^\W_]+")
 _DOMAIN = re.compile(r"^(?:www\.)?([a-z0-9][a-z0-9-]*)\.(?:[a-z]{2,}\.)?[a-z]{2,}$")
 _PHRASES = re.compile(r"\bmedia group\b")
 
 
 def parts_of(value: str) -> tuple[list[str], bool, str]:
-    """The parts of a name in order, whether it had a title, and its kind: name, site or other (with a number, no name)."""
+    """The parts of a name in order, whether it had a title, and its kind: name or site. Numbers are parts like others, but never respelt or cut."""
     s = unicodedata.normalize("NFKD", value).casefold()
     s = " ".join("".join(ch for ch in s if not unicodedata.combining(ch)).split())
-    if any(ch.isdigit() for ch in s):
-        return s.split(), False, "other"
     m = _DOMAIN.match(s)
     if m:
         return m[1].split("-"), False, "site"
@@ -107,15 +105,29 @@ def edit_distance(a: str, b: str, k: int) -> int:
     return old[-1]
 
 
+#: Longest strings whose deletion neighbourhoods are joined; segments of shorter ones would be met nearly everywhere.
+SHORT = 7
+
+
+def deletions(s: str, k: int) -> set[str]:
+    """The string with up to k characters taken out."""
+    out = {s}
+    for _ in range(k):
+        out |= {x[:i] + x[i + 1 :] for x in out for i in range(len(x))}
+    return out
+
+
 def similar_strings(strings: DataFrame, k: int = 1, column: str = "s", min_length: int = 4) -> DataFrame:
     """a, b: every ordered pair of different strings at most k edits apart (swaps of neighbours count one), both at least min_length long.
 
     Segments are cut for 2k edits without swaps, which k with swaps never exceed, so no pair is lost: at least one segment
-    of the shorter cut stands unchanged in the other string, shifted by at most k. Null strings take no part; repeated
+    of the shorter cut stands unchanged in the other string, shifted by at most k. Pairs with a string of SHORT characters
+    or fewer are found by what is left of both when up to k characters are taken out. Null strings take no part; repeated
     strings count once.
     """
     cuts = 2 * k
     base = strings.select(F.col(column).alias("s")).where(F.length("s") >= min_length).distinct()
+    long_, short = base.where(F.length("s") > SHORT), base.where(F.length("s") <= SHORT + k)
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -125,20 +137,24 @@ def similar_strings(strings: DataFrame, k: int = 1, column: str = "s", min_lengt
         for pdf in batches:
             out = set()
             for s in pdf["s"]:
-                for n in range(len(s) - k, len(s) + k + 1):
-                    if n < min_length:
-                        continue
+                for n in range(max(len(s) - k, SHORT + 1), len(s) + k + 1):
                     for i, (p, m) in enumerate(segments(n, cuts)):
                         for at in range(max(0, p - k), min(len(s) - m, p + k) + 1):
                             out.add((n, i, s[at : at + m], s))
             yield pd.DataFrame(list(out), columns=["n", "i", "seg", "a"])
 
+    def shorten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(x, s) for s in pdf["s"] for x in deletions(s, k)], columns=["left", "a"])
+
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pdf[[edit_distance(a, b, k) <= k for a, b in zip(pdf["a"], pdf["b"], strict=True)]]
 
-    pairs = base.mapInPandas(probe, "n int, i int, seg string, a string").join(base.mapInPandas(index, "n int, i int, seg string, b string"), ["n", "i", "seg"])
-    return pairs.where("a <> b").select("a", "b").distinct().mapInPandas(verify, "a string, b string")
+    pairs = long_.mapInPandas(probe, "n int, i int, seg string, a string").join(long_.mapInPandas(index, "n int, i int, seg string, b string"), ["n", "i", "seg"]).select("a", "b")
+    left = short.mapInPandas(shorten, "left string, a string")
+    pairs = pairs.unionByName(left.join(left.withColumnRenamed("a", "b"), "left").select("a", "b"))
+    return pairs.where("a <> b").distinct().mapInPandas(verify, "a string, b string")
 
 
 def _root(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -153,23 +169,32 @@ def _root(links: DataFrame, nodes: DataFrame) -> DataFrame:
         state = new
 
 
+def consonants(word: str) -> str:
+    """A word without the vowels after its first letter, as words are contracted."""
+    return word[0] + "".join(ch for ch in word[1:] if ch not in _VOWELS)
+
+
 def _cut_keys(parts: list[str]) -> set[str]:
-    """Bags a full bag may be written as: one part as its initial or cut to three to five letters, or of two parts one alone."""
+    """Bags a full bag may be written as: one part as its initial, cut to three to five letters, or as its consonants."""
     out = set()
     for i, t in enumerate(parts):
         rest = parts[:i] + parts[i + 1 :]
-        for n in (1, 3, 4, 5):
-            if len(t) > n and rest:
-                out.add(" ".join(sorted([*rest, t[:n]])))
+        if not rest or _NUMBER.search(t):
+            continue
+        shorter = {t[:n] for n in (1, 3, 4, 5) if len(t) > n}
+        bare = consonants(t)
+        if 3 <= len(bare) < len(t):
+            shorter.add(bare)
+        out.update(" ".join(sorted([*rest, x])) for x in shorter)
     return out
 
 
-def link_names(rows: DataFrame, column: str, kind: str | None = None, kinds: tuple[str, ...] = ("person", "organization")) -> DataFrame:
+def link_names(rows: DataFrame, column: str, kind: str | None = None, kinds: tuple[str, ...] = ("person", "organization"), k: int = 1) -> DataFrame:
     """value, entity: every different value of the column that is a name, exactly as stored, with the entity it spells.
 
     `kind` names a column that says what a row's name is, as typed and sometimes wrongly: an entity counts if most of its
-    rows are of `kinds` (None: all count). Null, empty and blank values and values with digits are no names. A cut form
-    that could be several entities stays alone. Repeated rows only weigh; ties go to the lesser spelling. An empty table
+    rows are of `kinds` (None: all count). Null, empty and blank values are no names. A part may be respelt by up to k
+    edits, but no number is. A cut form that could be several entities stays alone. Repeated rows only weigh; ties go to the lesser spelling. An empty table
     gives no rows.
     """
     good = F.lit(1) if kind is None else F.coalesce(F.col(kind).isin(*kinds).cast("int"), F.lit(0))
@@ -180,7 +205,7 @@ def link_names(rows: DataFrame, column: str, kind: str | None = None, kinds: tup
             out = []
             for v, n, g in zip(pdf["value"], pdf["n"], pdf["good"], strict=True):
                 parts, titled, what = parts_of(v)
-                if what == "other" or not parts:
+                if not parts:
                     continue
                 long = [t for t in parts if len(t) > 1]
                 # A middle initial says nothing where two full parts are there.
@@ -194,7 +219,7 @@ def link_names(rows: DataFrame, column: str, kind: str | None = None, kinds: tup
     bags = materialise(named.where("not site").groupBy("bag").agg(F.sum("n").alias("n"), F.sum("good").alias("good")))
     letters = materialise(named.where("not site").groupBy("joined", "bag").agg(F.sum("n").alias("n")))
     parts = bags.select("bag", F.explode(F.array_distinct(F.split("bag", " "))).alias("part"), "n")
-    near = materialise(similar_strings(parts.select("part"), 1, "part"))
+    near = materialise(similar_strings(parts.select("part").where("part not rlike '[0-9]'"), k, "part"))
 
     # One part respelt: the bag it would be, if there is one and it is more frequent. Bags with cut parts count as well.
     def cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,7 +247,7 @@ def link_names(rows: DataFrame, column: str, kind: str | None = None, kinds: tup
     order = Window.partitionBy("bag").orderBy(F.desc("m"), "to")
     typo = respelt.join(weight, "to").join(bags.select("bag", "n"), "bag").where("m > n or (m = n and to < bag)").withColumn("r", F.row_number().over(order)).where("r = 1").select(F.col("bag").alias("node"), "to")
     # The same letters with a space elsewhere.
-    same = letters.groupBy("joined").agg(F.max_by("bag", F.struct("n", "bag")).alias("to"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    same = letters.groupBy("joined").agg(F.min_by("bag", F.struct(-F.col("n"), "bag")).alias("to"), F.count(F.lit(1)).alias("k")).where("k > 1")
     spaced = letters.join(same, "joined").where("bag <> to").groupBy(F.col("bag").alias("node")).agg(F.max("to").alias("to"))
     first = typo.join(spaced.select("node"), "node", "left_anti").unionByName(spaced)
     # Two bags may point at each other by different rules: only upward in (n, bag) keeps pointers free of circles.
@@ -251,8 +276,10 @@ def link_names(rows: DataFrame, column: str, kind: str | None = None, kinds: tup
             yield pd.DataFrame(out, columns=["bag", "key"])
 
     own_roots = roots.where("node = root").select(F.col("node").alias("bag"))
-    keys = own_roots.mapInPandas(shorter, "bag string, key string")
-    exact = keys.join(full.withColumnRenamed("cut", "key"), "key").where("bag <> root").select("bag", "root", F.lit(0).alias("edits"))
+    # Every spelling gathered so far may be the one that is cut, for all of them; their most frequent one comes first.
+    keys = nodes.select(F.col("node").alias("bag")).mapInPandas(shorter, "bag string, key string")
+    keys = keys.join(roots.select(F.col("node").alias("bag"), F.col("root").alias("of")), "bag").select(F.col("of").alias("bag"), "key", (F.col("of") != F.col("bag")).cast("int").alias("edits"))
+    exact = keys.join(full.withColumnRenamed("cut", "key"), "key").where("bag <> root").select("bag", "root", "edits")
     loose = respelt.join(own_roots, "bag", "left_semi").join(full.withColumnRenamed("cut", "to"), "to").where("bag <> root").select("bag", "root", F.lit(1).alias("edits"))
     fits = exact.unionByName(loose).groupBy("bag", "root").agg(F.min("edits").alias("edits"))
     best = fits.join(fits.groupBy("bag").agg(F.min("edits").alias("edits")), ["bag", "edits"]).groupBy("bag").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("to")).where("k = 1")

@@ -38,6 +38,25 @@ def test_similar_strings(spark):
     assert {(r.a, r.b) for r in got.collect()} == want
 
 
+def test_similar_strings_of_all_lengths(spark):
+    """Short ones by deletions, long ones by segments, and pairs of one of each; also for two edits."""
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("ab") for _ in range(rng.randrange(4, 12))) for _ in range(150)})
+    for k in (1, 2):
+        want = {(a, b) for a in words for b in words if a != b and slow(a, b) <= k}
+        got = N.similar_strings(spark.createDataFrame([(w,) for w in words], "s string"), k)
+        assert {(r.a, r.b) for r in got.collect()} == want
+    assert {len(a) <= N.SHORT for a, b in want if len(a) != len(b)} == {True, False}
+
+
+def test_numbers_and_contractions(spark):
+    a = ["Studio 54", "STUDIO 54 Ltd", "54 Studio"]
+    b = ["Studio 55"]
+    c = ["Velm Chronicle", "Velm Chrncl", "Chron., Velm"]
+    values = [(v, 4 if v in (a[0], b[0], c[0]) else 1) for v in [*a, *b, *c]]
+    assert linked(spark, values, {v: "organization" for v, _ in values}) == groups(a, c)
+
+
 def linked(spark, values, kinds=None):
     rows = [(v, "person" if kinds is None else kinds[v], "clash", "clash") for v, n in values for _ in range(n)]
     df = spark.createDataFrame(rows, "name string, kind string, value string, entity string")
@@ -67,7 +86,7 @@ def test_organisations(spark):
 
 
 def test_papers(spark):
-    a = ["Sorrel Bay Tribune", "Sorre lBay Trib.", "S. Bay Tribune", "sorrelbaytribune.example", "Tribune, Sorrel Bay", "Sorrel Bay Tribune Media Group Ltd"]
+    a = ["Sorrel Bay Tribune", "Sorre lBay Trib.", "Sorrel Bay Trib.", "S. Bay Tribune", "sorrelbaytribune.example", "Tribune, Sorrel Bay", "Sorrel Bay Tribune Media Group Ltd"]
     b = ["Sorrel Bay Courier", "sorrel-bay-courier.test"]
     df = spark.createDataFrame([(v,) for v in [*a, *b, a[0], b[0], "", None]], "publisher string")
     assert {(r.name_a, r.name_b) for r in N.name_pairs(N.link_names(df, "publisher")).collect()} == groups(a, b)
