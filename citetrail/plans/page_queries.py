@@ -65,7 +65,7 @@ def page_knowledge_base(spark: SparkSession, d: str) -> DataFrame:
 
 def page_kinds(spark: SparkSession, d: str) -> DataFrame:
     kind = pages.page_kind(*(F.col(c) for c in ("success", "url", "title", "markdown")))
-    return load(spark, d, "crawl_corpus").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n_pages"))
+    return load(spark, d, "crawl_corpus").select("crawl_id", kind.alias("kind"))
 
 
 def page_strip_related(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +96,8 @@ def text_content_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_shingle_count(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "documents").where("text is not null").select("doc_id", F.size(text.content_shingles(F.col("text"))).alias("n_shingles"))
+    s = text.content_shingles(F.col("text"))
+    return load(spark, d, "documents").where("text is not null").select("doc_id", F.size(s).alias("n_shingles"), F.md5(F.array_join(F.array_sort(s), "|")).alias("digest"))
 
 
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -244,8 +245,8 @@ SQL = {
     "page_link_heavy": f"WITH {_KINDS} SELECT crawl_id, link_heavy FROM f WHERE markdown <> ''",
     "page_product": f"WITH {_KINDS} SELECT crawl_id, product FROM f WHERE markdown <> ''",
     "page_knowledge_base": f"WITH {_KINDS} SELECT crawl_id, knowledge_base FROM f WHERE markdown <> ''",
-    "page_kinds": f"""WITH {_KINDS} SELECT CASE WHEN NOT coalesce(success, false) THEN 'failed' WHEN length(markdown) < 200 THEN 'unscrapable' WHEN link_heavy THEN 'link-heavy' WHEN product THEN 'product'
-      WHEN knowledge_base THEN 'knowledge-base' ELSE 'article' END AS kind, count(*) AS n_pages FROM f GROUP BY 1""",
+    "page_kinds": f"""WITH {_KINDS} SELECT crawl_id, CASE WHEN NOT coalesce(success, false) THEN 'failed' WHEN length(markdown) < 200 THEN 'unscrapable' WHEN link_heavy THEN 'link-heavy' WHEN product THEN 'product'
+      WHEN knowledge_base THEN 'knowledge-base' ELSE 'article' END AS kind FROM f""",
     "page_strip_related": f"WITH t AS (SELECT crawl_id, markdown AS x FROM crawl_corpus WHERE markdown <> ''), {_strip_sql('t', 's')} SELECT crawl_id, md5(y) AS digest FROM s",
     "page_densest_block": f"WITH t AS (SELECT crawl_id, 0 AS k, markdown AS x FROM crawl_corpus WHERE markdown <> ''), {_DENSE} SELECT crawl_id, md5(y) AS digest FROM dense",
     "page_best_content": f"""WITH t0 AS (SELECT crawl_id, coalesce(markdown, '') AS x FROM crawl_corpus), {_strip_sql("t0", "s0")},
@@ -257,7 +258,7 @@ SQL = {
       WHERE success AND fetched_at <= TIMESTAMPTZ '2023-06-01 00:00:00+00' AND fetched_at + INTERVAL 1440 HOUR > TIMESTAMPTZ '2023-06-01 00:00:00+00' GROUP BY 1""",
     "text_content_words": f"""WITH w AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 AND w NOT IN ({_STOP})))) AS ws FROM documents WHERE text IS NOT NULL)
       SELECT doc_id, len(ws)::INT AS n_words, array_to_string(ws, ' ') AS words FROM w""",
-    "text_shingle_count": _SHINGLES + "SELECT doc_id, len(s)::INT AS n_shingles FROM sh",
+    "text_shingle_count": _SHINGLES + "SELECT doc_id, len(s)::INT AS n_shingles, md5(array_to_string(list_sort(s), '|')) AS digest FROM sh",
     "chunk_documents": r"""WITH RECURSIVE p AS (SELECT doc_id, text, regexp_split_to_array(text, '\n{2,}') AS ps FROM documents WHERE text IS NOT NULL),
       r AS (SELECT doc_id, ps, 1 AS i, ps[1] AS cur, NULL::VARCHAR AS done, 0 AS k FROM p WHERE length(text) > 8000
         UNION ALL SELECT doc_id, ps, i + 1, CASE WHEN length(cur) + length(ps[i + 1]) > 3000 AND cur <> '' THEN right(cur, 200) || chr(10) || chr(10) || ps[i + 1] ELSE cur || CASE WHEN cur <> '' THEN chr(10) || chr(10) ELSE '' END || ps[i + 1] END,

@@ -10,10 +10,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from citetrail.plans import core_queries, graph_queries, page_queries
+from citetrail.plans import core_queries, graph_queries, page_queries, reply_queries
 
 DATA = "/root/testdata/sf0.001"
-MODULES = (core_queries, graph_queries, page_queries)
+MODULES = (core_queries, graph_queries, page_queries, reply_queries)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
