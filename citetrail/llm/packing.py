@@ -194,12 +194,17 @@ def placed_by_content(bags: DataFrame, stats: Stats, shard_docs: int) -> DataFra
     return found.join(plan, "leaf").withColumn("shard", (F.col("first") + F.pmod(key, F.col("parts"))).cast("int")).drop("leaf", "first", "parts")
 
 
-def pack(sizes: np.ndarray, capacity: int, index: Bm25) -> list[list[tuple[int, int, int, int]]]:
-    """Containers as lists of (document, piece, first token, tokens). Documents of no tokens lie in the first container."""
-    bins: list[list[tuple[int, int, int, int]]] = []
+#: How an item came to its container: a piece as large as it, its seed, a neighbour of the seed, the best fit, no tokens.
+PIECE, SEED, NEIGHBOUR, FIT, EMPTY = "piece", "seed", "neighbour", "fit", "empty"
+Item = tuple[int, int, int, int, str]
+
+
+def pack(sizes: np.ndarray, capacity: int, index: Bm25) -> list[list[Item]]:
+    """Containers as lists of (document, piece, first token, tokens, how it came there). Documents of no tokens lie in the first container."""
+    bins: list[list[Item]] = []
     whole = sizes // capacity
     for d in np.flatnonzero(whole):
-        bins.extend([(int(d), k, k * capacity, capacity)] for k in range(whole[d]))
+        bins.extend([(int(d), k, k * capacity, capacity, PIECE)] for k in range(whole[d]))
     rest = sizes - whole * capacity
     unused = rest > 0
     # Items by size, with a pointer from each place to the nearest unused one at or below it.
@@ -217,10 +222,10 @@ def pack(sizes: np.ndarray, capacity: int, index: Bm25) -> list[list[tuple[int,
             below[p + 1], p = root - 1, below[p + 1]
         return root - 1
 
-    def take(d: int, bin_: list[tuple[int, int, int, int]]) -> int:
+    def take(d: int, bin_: list[Item], how: str) -> int:
         unused[d] = False
         below[place[d] + 1] = place[d] - 1
-        bin_.append((int(d), int(whole[d]), int(whole[d] * capacity), int(rest[d])))
+        bin_.append((int(d), int(whole[d]), int(whole[d] * capacity), int(rest[d]), how))
         return int(rest[d])
 
     some = sorted_rest[sorted_rest > 0]
@@ -230,8 +235,8 @@ def pack(sizes: np.ndarray, capacity: int, index: Bm25) -> list[list[tuple[int,
         below[p + 1] = -1 if p == 0 else p - 1
     while (p := nearest(len(rest) - 1)) >= least:
         seed = order[p]
-        bin_: list[tuple[int, int, int, int]] = []
-        room = capacity - take(seed, bin_)
+        bin_: list[Item] = []
+        room = capacity - take(seed, bin_, SEED)
         smallest = sorted_rest[least]
         if room >= smallest:
             # What does not fit now never will, and the first one taken must be good now.
@@ -247,7 +252,7 @@ def pack(sizes: np.ndarray, capacity: int, index: Bm25) -> list[list[tuple[int,
                 k = int(np.where(good, score, 0).argmax())
                 if not good[k]:
                     break
-                room -= take(near[k], bin_)
+                room -= take(near[k], bin_, NEIGHBOUR)
                 # What was passed over did not fit then.
                 after = score < score[k]
                 after[k + 1 :] |= score[k + 1 :] == score[k]
@@ -256,16 +261,16 @@ def pack(sizes: np.ndarray, capacity: int, index: Bm25) -> list[list[tuple[int,
             p = nearest(int(np.searchsorted(sorted_rest, room, "right")) - 1)
             if p < least:
                 break
-            room -= take(order[p], bin_)
+            room -= take(order[p], bin_, FIT)
         bins.append(bin_)
-    empty = [(int(d), 0, 0, 0) for d in np.flatnonzero(sizes == 0)]
+    empty = [(int(d), 0, 0, 0, EMPTY) for d in np.flatnonzero(sizes == 0)]
     if empty:
         bins = [[*bins[0], *empty], *bins[1:]] if bins else [empty]
     return bins
 
 
 def pack_documents(docs: DataFrame, specs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """container, bin, position, doc_id, piece, token_start, tokens: every document's place in containers of each capacity.
+    """container, bin, position, doc_id, piece, token_start, tokens, came: every document's place in containers of each capacity, and how it came there (PIECE, SEED, NEIGHBOUR, FIT, EMPTY).
 
     A document is cut only when larger than the container: into full pieces and a rest, which is packed like a document.
     Documents without tokens (null or empty texts) have a row of no tokens in a container of their shard. Rows with equal
@@ -287,21 +292,23 @@ def pack_documents(docs: DataFrame, specs: DataFrame, doc_id: str = "doc_id", te
         out = []
         for name, capacity in capacities:
             for b, items in enumerate(pack(sizes, capacity, index)):
-                out.extend((name, (shard << 32) + b, k, ids[d], piece, start, n) for k, (d, piece, start, n) in enumerate(items))
-        return pd.DataFrame(out, columns=["container", "bin", "position", "doc_id", "piece", "token_start", "tokens"])
+                out.extend((name, (shard << 32) + b, k, ids[d], piece, start, n, came) for k, (d, piece, start, n, came) in enumerate(items))
+        return pd.DataFrame(out, columns=["container", "bin", "position", "doc_id", "piece", "token_start", "tokens", "came"])
 
-    return placed.groupBy("shard").applyInPandas(fill, f"container string, bin long, position int, doc_id {id_kind}, piece int, token_start long, tokens long")
+    return placed.groupBy("shard").applyInPandas(fill, f"container string, bin long, position int, doc_id {id_kind}, piece int, token_start long, tokens long, came string")
 
 
 def packing_report(packed: DataFrame, specs: DataFrame) -> DataFrame:
-    """container, capacity_tokens, bins, tokens, unused_tokens, fill, cut_documents: how full the containers are."""
+    """container, capacity_tokens, bins, tokens, unused_tokens, fill, cut_documents, retrieved_part: how full the containers are, and the part of what was added to seeds that was retrieved as their neighbours (null if nothing was)."""
     per = packed.groupBy("container", "bin").agg(F.sum("tokens").alias("tokens")).where("tokens > 0").groupBy("container").agg(F.count(F.lit(1)).alias("bins"), F.sum("tokens").alias("tokens"))
     cut = packed.where("piece > 0").groupBy("container").agg(F.count_distinct("doc_id").alias("cut_documents"))
+    added = packed.where(F.col("came").isin(NEIGHBOUR, FIT)).groupBy("container").agg(F.round(F.avg((F.col("came") == NEIGHBOUR).cast("double")), 4).alias("retrieved_part"))
     cap = F.col("capacity_tokens").cast("long")
     return (
         per.join(specs.groupBy("container").agg(F.max("capacity_tokens").alias("capacity_tokens")), "container")
         .join(cut, "container", "left")
-        .select("container", cap.alias("capacity_tokens"), "bins", "tokens", (F.col("bins") * cap - F.col("tokens")).alias("unused_tokens"), F.round(F.col("tokens") / (F.col("bins") * cap), 4).alias("fill"), F.coalesce("cut_documents", F.lit(0)).alias("cut_documents"))
+        .join(added, "container", "left")
+        .select("container", cap.alias("capacity_tokens"), "bins", "tokens", (F.col("bins") * cap - F.col("tokens")).alias("unused_tokens"), F.round(F.col("tokens") / (F.col("bins") * cap), 4).alias("fill"), F.coalesce("cut_documents", F.lit(0)).alias("cut_documents"), "retrieved_part")
     )
 
 

@@ -29,8 +29,8 @@ def test_pack(sizes, capacity):
     bins = P.pack(s, capacity, P.Bm25(bags(sizes)))
     pieces = {}
     for b in bins:
-        assert sum(n for *_, n in b) <= capacity
-        for d, piece, start, n in b:
+        assert sum(n for _, _, _, n, _ in b) <= capacity
+        for d, piece, start, n, _ in b:
             pieces.setdefault(d, []).append((piece, start, n))
     assert sorted(pieces) == list(range(len(sizes)))
     for d, ps in pieces.items():
@@ -38,7 +38,7 @@ def test_pack(sizes, capacity):
         assert sum(n for *_, n in ps) == sizes[d] and [p[1] for p in ps] == [k * capacity for k in range(len(ps))]
         assert len(ps) == max(1, -(-sizes[d] // capacity))
     # First fit never leaves two containers that could be one.
-    loads = sorted(sum(n for *_, n in b) for b in bins)
+    loads = sorted(sum(n for _, _, _, n, _ in b) for b in bins)
     assert len(loads) < 2 or loads[0] + loads[1] > capacity or loads[0] == 0
 
 
@@ -67,6 +67,7 @@ def test_operator(spark):
         assert {r.doc_id for r in mine} == {i for i, _ in rows}
     assert {r.container for r in got} == {"s", "m"}
     assert {r.container: r.tokens for r in P.packing_report(out, specs).collect()} == {"s": total, "m": total}
+    assert {r.container: r.retrieved_part for r in P.packing_report(out, specs).collect()}["s"] == round(sum(r.came == P.NEIGHBOUR for r in got if r.container == "s") / max(1, sum(r.came in (P.NEIGHBOUR, P.FIT) for r in got if r.container == "s")), 4)
     assert P.pack_documents(docs.limit(0), specs).count() == 0
 
 
@@ -87,7 +88,7 @@ def test_common_terms_and_distant_candidates_count():
     n = 90
     alike = P.Bm25([(np.array([5, 6], np.uint16), np.ones(2, np.uint16))] + [(np.array([5, 6], np.uint16), np.ones(2, np.uint16))] * (n - 2) + [(np.array([5], np.uint16), np.ones(1, np.uint16))])
     sizes = np.array([60] + [50] * (n - 2) + [40], np.int64)
-    assert P.pack(sizes, 100, alike)[0] == [(0, 0, 0, 60), (n - 1, 0, 0, 40)]
+    assert P.pack(sizes, 100, alike)[0] == [(0, 0, 0, 60, P.SEED), (n - 1, 0, 0, 40, P.NEIGHBOUR)]
 
 
 def test_relatives_share_a_shard(spark):
