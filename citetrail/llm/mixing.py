@@ -66,8 +66,11 @@ def budget_ends(sizes: DataFrame, ranges: DataFrame) -> DataFrame:
         bucket = F.least(F.floor((x - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS), F.lit(BUCKETS - 1))
         sums = at.groupBy("mix_name", "source", "remainder", "before", bucket.alias("bucket")).agg(F.sum("tokens").alias("in_bucket"), F.count(F.lit(1)).alias("docs"), F.min(x).alias("lo"), F.max(x).alias("hi"))
         upto = F.sum("in_bucket").over(Window.partitionBy("mix_name", "source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-        sums = sums.withColumn("before", F.col("before") + F.coalesce(upto, F.lit(0))).where("before < remainder")
-        last = sums.groupBy("mix_name", "source").agg(F.max_by(F.struct("remainder", "docs", "lo", "hi", "before"), "bucket").alias("r")).select("mix_name", "source", "r.*")
+        of = Window.partitionBy("mix_name", "source")
+        sums = sums.withColumn("before", F.col("before") + F.coalesce(upto, F.lit(0))).withColumn("edge", F.max(F.when(F.col("before") < F.col("remainder"), F.col("bucket"))).over(of))
+        # With the buckets after it while they are few: small documents there fill what a large one leaves.
+        sums = sums.where("bucket >= edge").withColumn("upto", F.sum("docs").over(of.orderBy("bucket"))).where((F.col("bucket") == F.col("edge")) | (F.col("upto") <= BUCKET_DOCS))
+        last = sums.groupBy("mix_name", "source").agg(F.first("remainder").alias("remainder"), F.sum("docs").alias("docs"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("before").alias("before"))
         ranges = materialise(ranges.where((F.col("docs") <= BUCKET_DOCS) | (F.col("hi") <= F.col("lo"))).unionByName(last))
     return ranges
 
