@@ -267,10 +267,10 @@ def heading_templates(sums: DataFrame, n_pages: int) -> DataFrame:
     """
     t = sums.where(f"path % 3 = {LABEL} and path div 3 % 5 <> {TITLED} and chars <= lines * {LABEL_CHARS}")
     t = t.groupBy("key").agg(F.sum("lines").alias("n"), F.sum("headed").alias("headed"), F.sum("below").alias("below"))
-    t = t.where((F.col("headed") > 0) & (F.col("n") >= max(3.0, HEADING_SHARE * n_pages)))
-    parent = t.agg((F.sum("below") / F.sum("n")).alias("parent"))
-    score = smoothed(F.col("below"), F.col("n"), F.col("parent"), HEADING_SMOOTHING) * F.least(F.lit(1.0), F.col("headed") / F.col("n") / HEADED_SHARE)
-    return t.join(F.broadcast(parent)).select("key", (score >= HEADING_THRESHOLD).alias("content"))
+    t = materialise(t.where((F.col("headed") > 0) & (F.col("n") >= max(3.0, HEADING_SHARE * n_pages))))
+    parent = t.agg(F.sum("below") / F.sum("n")).first()[0] or 0.0
+    score = smoothed(F.col("below"), F.col("n"), F.lit(parent), HEADING_SMOOTHING) * F.least(F.lit(1.0), F.col("headed") / F.col("n") / HEADED_SHARE)
+    return t.select("key", (score >= HEADING_THRESHOLD).alias("content"))
 
 
 def main_lines(markdown: str, title: str | None, url: str | None, scores: dict[int, tuple[float, float]], variety: dict[int, float], headings: dict[int, bool]) -> list[int]:
