@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citetrail.llm.tokens import VOCABULARY, token_bags
+from citetrail.llm.tokens import FREQUENCIES, VOCABULARY, token_bags
 from citetrail.runtime import materialise
 
 #: Documents aimed at per shard.
@@ -144,19 +144,16 @@ def leaf_of(vectors: np.ndarray, nodes: list[tuple[np.ndarray, float, int, int]]
     return out
 
 
-def collection_stats(bags: DataFrame) -> Stats:
-    """Frequencies are summed per task before rows move; at most one row per token id reaches the driver."""
+def collection_stats(bags: DataFrame, frequencies: DataFrame) -> Stats:
+    """From the bags' sizes and the tasks' rows of frequencies, which are summed by token; at most one row per token id reaches the driver."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df = np.zeros(1 << 16, np.int64)
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i in pdf["ids"]:
-                df[np.frombuffer(i, np.uint16)] += 1
-        some = np.flatnonzero(df)
-        yield pd.DataFrame({"term": some, "df": df[some]})
+            for i, t in zip(pdf["ids"], pdf["tfs"], strict=True):
+                yield pd.DataFrame({"term": np.frombuffer(i, np.uint16).astype(np.int64), "df": np.frombuffer(t, np.uint32).astype(np.int64)})
 
     df = np.zeros(1 << 16, np.int64)
-    for r in bags.select("ids").mapInPandas(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
+    for r in frequencies.select("ids", "tfs").mapInPandas(rows, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
         df[r.term] = r.df
     n, mean = bags.agg(F.count(F.lit(1)), F.avg("tokens")).first()
     return Stats(n, mean or 0.0, df)
@@ -280,9 +277,10 @@ def pack_documents(docs: DataFrame, specs: DataFrame, doc_id: str = "doc_id", te
     """
     wanted = specs.where("container is not null and capacity_tokens >= 1").groupBy("container").agg(F.max("capacity_tokens").alias("c")).orderBy("container").collect()
     capacities = [(r.container, int(r.c)) for r in wanted]
-    bags = materialise(token_bags(docs, doc_id, text, vocabulary))
+    counted = materialise(token_bags(docs, doc_id, text, vocabulary))
+    bags = counted.where(F.col("tokens") != FREQUENCIES)
     id_kind = dict(bags.dtypes)["doc_id"]
-    stats = collection_stats(bags)
+    stats = collection_stats(bags, counted.where(F.col("tokens") == FREQUENCIES))
     placed = placed_by_content(bags, stats, shard_docs)
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:

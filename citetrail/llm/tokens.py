@@ -46,23 +46,38 @@ def encoding(vocabulary: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Size that marks a row of frequencies among bags.
+FREQUENCIES = -1
+
+
 def token_bags(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, tokens, ids binary, tfs binary: a text's size, its different tokens (uint16, ascending) and how often each occurs (uint32). Null texts are empty."""
+    """doc_id, tokens, ids binary, tfs binary: a text's size, its different tokens (uint16, ascending) and how often each occurs (uint32). Null texts are empty.
+
+    Each task adds a row whose tokens are FREQUENCIES and whose tfs say in how many of its texts a token occurs.
+    """
     ship_vocabulary(docs.sparkSession, vocabulary)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(vocabulary)
+        df = np.zeros(1 << 16, np.uint32)
+        none = None
         for pdf in batches:
             n, ids, tfs = [], [], []
             for t in pdf["text"]:
                 u = np.array(enc.encode_ordinary(t), np.uint16)
                 u.sort()
                 first = np.flatnonzero(np.concatenate((u[:1] == u[:1], u[1:] != u[:-1])))
+                own = u[first]
+                df[own] += 1
                 n.append(len(u))
-                ids.append(u[first].tobytes())
+                ids.append(own.tobytes())
                 tfs.append(np.diff(first, append=len(u)).astype(np.uint32).tobytes())
+            none = pdf["doc_id"].iloc[:1] if none is None else none
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "tokens": n, "ids": ids, "tfs": tfs})
+        some = np.flatnonzero(df)
+        if len(some):
+            yield pd.DataFrame({"doc_id": none.to_numpy(), "tokens": FREQUENCIES, "ids": [some.astype(np.uint16).tobytes()], "tfs": [df[some].tobytes()]})
 
     return base.mapInPandas(count, f"doc_id {dict(base.dtypes)['doc_id']}, tokens long, ids binary, tfs binary")
 

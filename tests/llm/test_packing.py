@@ -100,7 +100,24 @@ def test_relatives_share_a_shard(spark):
             mine = np.delete(ids, k)
             rows.append((topic * 10 + k, len(mine), mine.tobytes(), np.ones(len(mine), np.uint32).tobytes()))
     bags = spark.createDataFrame(rows, "doc_id long, tokens long, ids binary, tfs binary")
-    got = {r.doc_id: r.shard for r in P.placed_by_content(bags, P.collection_stats(bags), 100).collect()}
+    term, df = np.unique(np.concatenate([np.frombuffer(r[2], np.uint16) for r in rows]), return_counts=True)
+    freq = spark.createDataFrame([(bytearray(x.tobytes()), bytearray(y.astype(np.uint32).tobytes())) for x, y in ((term[::2], df[::2]), (term[1::2], df[1::2]), (term[:3], 0 * df[:3]))], "ids binary, tfs binary")
+    got = {r.doc_id: r.shard for r in P.placed_by_content(bags, P.collection_stats(bags, freq), 100).collect()}
     loads = {s: list(got.values()).count(s) for s in got.values()}
     assert len(got) == 400 and len(loads) >= 4 and max(loads.values()) <= 150
     assert sum(len({got[t * 10 + k] for k in range(10)}) == 1 for t in range(40)) >= 36
+
+
+@HAS
+def test_frequencies_ride_along(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["alpha beta alpha", "beta gamma", "", None, "beta"])], "doc_id long, text string").repartition(2)
+    rows = T.token_bags(docs).collect()
+    marks = [r for r in rows if r.tokens == T.FREQUENCIES]
+    want = np.zeros(1 << 16, int)
+    for r in rows:
+        if r.tokens != T.FREQUENCIES:
+            want[np.frombuffer(r.ids, np.uint16)] += 1
+    got = np.zeros(1 << 16, int)
+    for r in marks:
+        got[np.frombuffer(r.ids, np.uint16)] += np.frombuffer(r.tfs, np.uint32)
+    assert len(rows) - len(marks) == 5 and len(marks) <= 2 and (got == want).all() and want.max() >= 2
