@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: Default vocabulary; any rank file with at most 65,536 ids may be given instead.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-# Fixed value: the pattern that splits text before the merges of such rank files.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Fixed value: the pattern that splits text before the merges of such rank files, in its form without needless backtracking.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: Tokens from which a text's length is no sign of less quality.
 FULL_TOKENS = 200
 #: Least weight of a document.

@@ -4,6 +4,7 @@ import os
 
 import numpy as np
 import pytest
+import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -121,3 +122,12 @@ def test_frequencies_ride_along(spark):
     for r in marks:
         got[np.frombuffer(r.ids, np.uint16)] += np.frombuffer(r.tfs, np.uint32)
     assert len(rows) - len(marks) == 5 and len(marks) <= 2 and (got == want).all() and want.max() >= 2
+
+
+@HAS
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("ab é9.'sdrevl \n\t\u00a0\x1c中。")), max_size=30))
+def test_pattern(text):
+    """As the pattern's plain form splits."""
+    plain = tiktoken.Encoding("plain", pat_str=r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", mergeable_ranks=T.encoding(T.VOCABULARY)._mergeable_ranks, special_tokens={})
+    assert T.encoding(T.VOCABULARY).encode_ordinary(text) == plain.encode_ordinary(text)
