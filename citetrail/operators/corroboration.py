@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citetrail.functions.vector import cosine, is_usable
+from citetrail.functions.vector import dot, is_usable, unit
 
 
 def _pair(s: str, o: str) -> list[Column]:
@@ -28,10 +28,11 @@ def matched_pairs(edges: DataFrame, triples: DataFrame) -> DataFrame:
 
 def similar_claim_edges(edges: DataFrame, claims: DataFrame, least: float) -> DataFrame:
     """scope, edge_id: edges of which some claim of the source is at least so similar to some claim of the target."""
-    ok = claims.where(is_usable(F.col("embedding")))
-    a = ok.select("scope", F.col("node").alias("source"), F.col("embedding").alias("ea"))
-    b = ok.select("scope", F.col("node").alias("target"), F.col("embedding").alias("eb"))
-    return edges.join(a, ["scope", "source"]).join(b, ["scope", "target"]).where(cosine(F.col("ea"), F.col("eb")) >= least).select("scope", "edge_id").distinct()
+    # Lengths are taken once per claim, before the joins, and equal vectors of a node are one.
+    ok = claims.where(is_usable(F.col("embedding"))).select("scope", "node", unit(F.col("embedding")).alias("u")).dropDuplicates()
+    ends = edges.select("scope", "edge_id", "source", "target")
+    a, b = ok.select("scope", F.col("node").alias("source"), F.col("u").alias("ua")), ok.select("scope", F.col("node").alias("target"), F.col("u").alias("ub"))
+    return ends.join(a, ["scope", "source"]).join(b, ["scope", "target"]).where(dot(F.col("ua"), F.col("ub")) >= least).select("scope", "edge_id").distinct()
 
 
 def corroboration(edges: DataFrame, claims: DataFrame, triples: DataFrame, least: float = 0.85) -> DataFrame:

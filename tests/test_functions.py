@@ -134,6 +134,8 @@ def test_vectors(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0], [1.0, 1.0])], "a array<float>, b array<float>")
     got = [r.c for r in df.select(vector.cosine(F.col("a"), F.col("b")).alias("c")).collect()]
     assert got[0] == pytest.approx(0.5**0.5) and got[1:] == [0.0, None]
+    same = [r.c for r in df.select(vector.dot(vector.unit(F.col("a")), vector.unit(F.col("b"))).alias("c")).collect()]
+    assert same[0] == pytest.approx(0.5**0.5) and same[1:] == [None, None]
     assert values(spark, [[1.0, 2.0], [0.0, 0.0], [], None, [float("nan"), 1.0], [None, 1.0]], vector.is_usable, "array<double>") == [True] + [False] * 5
 
 
