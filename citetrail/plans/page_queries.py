@@ -134,17 +134,18 @@ def same_article_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _script_sets(spark: SparkSession, d: str) -> DataFrame:
-    """Every document with its shingle set over words of all scripts. Under five words the exact text is the set; a null text is a set of its own."""
+    """Every document with its shingle set, as hashes, over words of all scripts. Under five words the exact text is the set; a null text is a set of its own."""
     t = F.col("text")
-    rows = load(spark, d, "documents").select("doc_id", "text", F.array_sort(text.content_shingles(t, split=text.script_words)).alias("items"))
+    shingles = F.coalesce(text.content_shingles(t, split=text.script_words), F.array().cast("array<string>"))
+    rows = load(spark, d, "documents").select("doc_id", "text", F.array_sort(F.transform(shingles, lambda x: F.xxhash64(x))).alias("items"))
     whole = F.when(t.isNull(), F.concat(F.lit("id "), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("text "), F.md5(t)))
-    items = F.coalesce("items", F.array().cast("array<string>"))
-    return rows.select("doc_id", items.alias("items"), F.when(F.size(items) > 0, F.md5(F.array_join(items, "|"))).otherwise(whole).alias("set_id"))
+    same = F.concat_ws(" ", F.lit("set"), F.size("items").cast("string"), F.hex(F.xxhash64("items")), F.hex(F.hash("items")))
+    return rows.select("doc_id", "items", F.when(F.size("items") > 0, same).otherwise(whole).alias("set_id"))
 
 
 def near_dup_classes(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, class_id for every document: the class is the first document greedy clustering gathers it to; texts under five words are gathered when equal."""
-    rows = _script_sets(spark, d)
+    rows = materialise(_script_sets(spark, d))  # read twice
     firsts = materialise(rows.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.any_value("items").alias("items")))
     sets = firsts.select(F.lit(0).alias("scope"), "id", F.col("id").alias("ord"), "items")
     lead = leaders(sets, similar_sets(sets, 0.8)).select("id", "leader")
