@@ -166,7 +166,7 @@ def analysis_reload(spark: SparkSession, d: str) -> DataFrame:
     edge = lambda e: F.concat_ws(">", e["source"], e["target"], e["metrics"]["corroboration"], F.size(e["concerns"]).cast("string"))
     said = lambda e: F.concat_ws(":", e["key"], F.array_join(F.transform(e["value"], lambda c: F.md5(F.concat(F.coalesce(c["claim"], empty), F.lit("/"), F.coalesce(c["attribution"], empty)))), "+"))
     return store.reassemble(tables).select(
-        "scope", "article_url", F.coalesce("summary.text", empty).alias("summary_text"), F.col("summary.concern_count").alias("concern_count"), F.col("summary.strong_corroboration").alias("strong_corroboration"),
+        "scope", "article_url", F.coalesce("summary.text", empty).alias("summary_text"), F.coalesce("summary.concern_count", F.lit(-1)).cast("long").alias("concern_count"), F.coalesce("summary.strong_corroboration", F.lit(-1)).cast("long").alias("strong_corroboration"),
         F.coalesce(F.array_join(F.transform("nodes", node), ","), empty).alias("nodes"), F.coalesce(F.array_join(F.transform("edges", edge), ","), empty).alias("edges"),
         F.coalesce(F.array_join(F.transform(F.map_entries("claims"), said), ","), empty).alias("claims"),
     )
@@ -307,8 +307,8 @@ SQL = {
       e AS (SELECT scope, string_agg(concat_ws('>', source, target, corroboration, '0'), ',' ORDER BY loaded_at, id) AS edges FROM live_edges GROUP BY 1),
       k AS (SELECT scope, node, node || ':' || string_agg(md5(coalesce(claim_text, '') || '/' || coalesce(attribution, '')), '+' ORDER BY loaded_at, id) AS x FROM live_claims GROUP BY scope, node), c AS (SELECT scope, string_agg(x, ',' ORDER BY node) AS claims FROM k GROUP BY 1),
       h AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at, article_url, article_date NULLS FIRST, summary_text NULLS FIRST) AS r FROM analyses)
-      SELECT h.id AS scope, article_url, CASE WHEN summary_text <> '' THEN summary_text ELSE '' END AS summary_text, CASE WHEN summary_text <> '' THEN coalesce(summary_concern_count, 0)::BIGINT END AS concern_count,
-        CASE WHEN summary_text <> '' THEN coalesce(summary_strong_corroboration, 0)::BIGINT END AS strong_corroboration, coalesce(nodes, '') AS nodes, coalesce(edges, '') AS edges, coalesce(claims, '') AS claims
+      SELECT h.id AS scope, article_url, CASE WHEN summary_text <> '' THEN summary_text ELSE '' END AS summary_text, CASE WHEN summary_text <> '' THEN coalesce(summary_concern_count, 0) ELSE -1 END::BIGINT AS concern_count,
+        CASE WHEN summary_text <> '' THEN coalesce(summary_strong_corroboration, 0) ELSE -1 END::BIGINT AS strong_corroboration, coalesce(nodes, '') AS nodes, coalesce(edges, '') AS edges, coalesce(claims, '') AS claims
       FROM h LEFT JOIN n ON n.scope = h.id LEFT JOIN e ON e.scope = h.id LEFT JOIN c ON c.scope = h.id WHERE r = 1""",
     "entity_dictionary": f"{_NODE_SQL} SELECT scope, key, name, type FROM dictionary",
     "entity_nodes": f"{_NODE_SQL}, x AS (SELECT scope, lower(subject) AS entity, node FROM triples WHERE subject <> '' UNION SELECT scope, lower(object), node FROM triples) SELECT scope, entity, string_agg(node, ',' ORDER BY node) AS nodes FROM x GROUP BY 1, 2",
