@@ -34,7 +34,8 @@ MOST_PARTITIONS = 20_000
 @dataclass(frozen=True)
 class IndexParams:
     """dims: length of a usable vector. fanout: most pivots of one level, fitted on PER_PIVOT sampled vectors each.
-    shard: vectors aimed at per shard; no shard has more than twice as many. levels: of further cuts; a shard still too
+    shard: vectors aimed at per shard; over fanout shards, exact counts keep each below twice as many; up to fanout
+    shards the sample's estimate does, so one may be a little larger. levels: of further cuts; a shard still too
     large then (nearly equal vectors) is cut by the hash of its vectors. near: a vector also goes to a second pivot whose
     cosine is within this of the best. degree, beam, alpha: of the graph. plane: dimensions of the projection that guides
     searches (exact cosines decide)."""
