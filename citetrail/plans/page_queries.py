@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citetrail.functions import dates, pages, text, urls
 from citetrail.operators.consolidate import first_per_key, leaders, similar_sets
+from citetrail.operators.similar import similar_texts
 from citetrail.runtime import load, materialise
 from citetrail.sources.corpus import flatten_links
 
@@ -116,6 +117,10 @@ def _shingle_sets(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("set_id", F.md5(F.array_join("items", "|")))
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
 def near_dup_links(spark: SparkSession, d: str) -> DataFrame:
     """set_doc, n_links: per different shingle set, by its least document, the number of other sets at a Jaccard of 0.8 or more."""
     rows = _shingle_sets(spark, d)
@@ -127,10 +132,8 @@ def near_dup_links(spark: SparkSession, d: str) -> DataFrame:
 
 def same_article_pairs(spark: SparkSession, d: str) -> DataFrame:
     """set_a, set_b, jaccard: different articles that are the same by runs of three words, of the first 2,000, at a Jaccard of 0.5 or more; copies are one set, by the least document."""
-    items = F.array_sort(text.content_shingles(F.col("text"), 3, starts=2_000))
-    rows = load(spark, d, "documents").where("text <> ''").select("doc_id", items.alias("items")).where(F.size("items") > 0)
-    sets = materialise(rows.groupBy(F.md5(F.array_join("items", "|")).alias("set_id")).agg(F.min("doc_id").alias("id"), F.any_value("items").alias("items")).select(F.lit(0).alias("scope"), "id", F.col("id").alias("ord"), "items"))
-    return similar_sets(sets, 0.5).select(F.col("a").alias("set_a"), F.col("b").alias("set_b"), F.round("jaccard", 6).alias("jaccard"))
+    _, pairs = similar_texts(_texts(spark, d), 0.5, 3, starts=2_000)
+    return pairs.select(F.col("a").alias("set_a"), F.col("b").alias("set_b"), F.round("jaccard", 6).alias("jaccard"))
 
 
 def _script_sets(spark: SparkSession, d: str) -> DataFrame:
