@@ -5,8 +5,8 @@ The sets of runs are many times the texts, so they are never written: each step
 1. Every text gets the size and a hash of its set, and runs are counted in a table of `SLOTS` counters by their hash.
 2. Prefix filtering: in an order of runs that is the same for all texts, two similar sets share one of the first few of
    both. Any order gives all pairs; that of the counters puts common runs last. Only these first runs are moved, sorted
-   and packed as differences, and meet by ranges of their hashes. Places in the order and, where sets may differ much,
-   sketches of the whole sets bound what two can share, so few pairs are left that are not similar.
+   and packed as differences, and meet by ranges of their hashes. Places in the order and sketches of the whole sets
+   bound what two can share, so few pairs are left that are not similar.
 3. The texts of pairs that met are moved, once for all pairs of a neighbourhood, and compared by their whole sets.
 """
 
@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citetrail.functions import text
@@ -37,10 +37,65 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _sets(column: pa.ListArray, words: int, starts: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows of hashed words: their different runs as hashes and the row of each, and by row the size and the hash of the set."""
-    off = column.offsets.to_numpy()
-    v, off = column.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].view(U), off - off[0]
+def _word_hashes(x: np.ndarray, start: np.ndarray, inside: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of signs x, those of words and where words start: the place and the hash of each word of at least so many signs."""
+    at, first = np.flatnonzero(inside), np.flatnonzero(start)
+    if not len(at):
+        return first, np.zeros(0, U)
+    begin = np.flatnonzero(start[at])
+    length = np.diff(begin, append=len(at))
+    power = np.cumprod(np.full(length.max(), 0x9E3779B97F4A7C15, U))
+    weight = power[np.arange(len(at)) - np.repeat(begin, length)]
+    h = _mix(np.add.reduceat(_mix(x[at].astype(U) + U(0x632BE59BD9B4E019)) * weight, begin) + length.astype(U))
+    return first[length >= least], h[length >= least]
+
+
+_PLAIN = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8))
+
+
+def word_hashes(column: pa.Array, scripts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts in lower case the words of text.plain_words, or with the classes of signs those of text.script_words, as hashes, and where each text's begin."""
+    if scripts is None:
+        c = column.cast(pa.large_string())
+        off = np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1]
+        x, off = np.frombuffer(c.buffers()[2] or b"", np.uint8)[off[0] : off[-1]], off - off[0]
+    else:
+        texts = column.to_pylist()
+        x, off = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.cumsum([0, *map(len, texts)])
+    new = np.zeros(len(x) + 1, bool)
+    new[off] = True
+    new = new[:-1]
+    if scripts is None:
+        inside = _PLAIN[x]
+        start = inside & (new | ~np.concatenate([[False], inside[:-1]])) if len(x) else inside
+    else:
+        kind = scripts[x]
+        unspaced, mark = kind & 1 > 0, kind & 2 > 0
+        # Marks belong to the sign without spaces before them, of the same text.
+        last = np.maximum.accumulate(np.where(unspaced | ~mark | new, np.arange(len(x)), 0)) if len(x) else off[:0]
+        before = np.concatenate([[0], last[:-1]])[: len(x)]
+        joined = mark & ~new & unspaced[before]
+        run = (kind & 4 > 0) & ~joined & ~unspaced
+        inside = unspaced | joined | run
+        start = (unspaced & ~joined) | (run & (new | ~np.concatenate([[False], run[:-1]])[: len(x)]))
+    place, h = _word_hashes(x, start, inside, 3 if scripts is None else 1)
+    return h, np.searchsorted(place, off)
+
+
+def script_classes(spark: SparkSession) -> np.ndarray:
+    """By code point: 1 in scripts without spaces, 2 a mark, 4 a letter, mark or digit; as the expressions of the session see them."""
+    signs = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    kinds = [rf"[^{c}]" for c in (text.UNSPACED, r"\p{M}", r"\p{L}\p{M}\p{N}")]
+    found = spark.createDataFrame([(signs,)], "s string").select(*[F.regexp_replace("s", k, " ").alias(f"k{i}") for i, k in enumerate(kinds)]).first()
+    at, out = np.frombuffer(signs.encode("utf-32-le"), np.uint32), np.zeros(0x110000, np.uint8)
+    for i, f in enumerate(found):
+        out[at] |= ((np.frombuffer(f.encode("utf-32-le"), np.uint32) == at) & (at != 32)).astype(np.uint8) << i
+    return out
+
+
+def _sets(column: pa.Array, words: int, starts: int | None, scripts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts: their different runs of words as hashes and the row of each, and by row the size and the hash of the set."""
+    v, off = word_hashes(column, scripts)
     m = np.maximum(np.diff(off) - (words - 1), 0)
     if starts:
         m = np.minimum(m, starts)
@@ -84,11 +139,11 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 10_000) -> Iterator[p
             yield b.slice(i, rows)
 
 
-def _measured(words: int, starts: int | None) -> Callable:
+def _measured(words: int, starts: int | None, scripts: np.ndarray | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, names = np.zeros(SLOTS, np.int64), ["id", "n", "set_hash", "piece", "counts"]
         for b in _slices(batches):
-            h, _, n, hashed = _sets(b.column("w"), words, starts)
+            h, _, n, hashed = _sets(b.column("w"), words, starts, scripts)
             slot, times = np.unique(h >> U(44), return_counts=True)
             count[slot.astype(np.int64)] += times
             hashed = np.where(n > 0, hashed.view(np.int64), b.column("alone").to_numpy())
@@ -106,13 +161,13 @@ def _levels(table: pa.Table) -> pa.Table:
     return pa.table({"piece": table.column("piece")[:1], "levels": pa.array([np.minimum(8 * np.log2(total + 1), 255).astype(np.uint8).tobytes()], pa.binary())})
 
 
-def _first_runs(words: int, starts: int | None, least: float, levels: np.ndarray, ranges: int, sketch: bool) -> Callable:
+def _first_runs(words: int, starts: int | None, scripts: np.ndarray | None, least: float, levels: np.ndarray, ranges: int) -> Callable:
     names, kinds = ["part", "size", "tokens", "docs", "places", "hashes", "sizes", "sketches"], (pa.int32(), pa.int32(), *[pa.binary()] * 6)
 
     def packed(posts: list[np.ndarray], hashes: list[np.ndarray], sizes: list[np.ndarray], drawn: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         uniq, first, same = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
         n, p = np.concatenate(sizes)[first], np.concatenate(posts)
-        drawn = np.concatenate(drawn)[first] if sketch else np.zeros((len(n), 0), np.uint8)
+        drawn = np.concatenate(drawn)[first]
         # 40 bits of the run, 16 of the text, 8 of the place.
         p = np.unique(p & ~U(0xFFFF00) | same[(p >> U(8) & U(0xFFFF)).astype(np.int64)].astype(U) << U(8))
         edge = np.searchsorted(p, np.array([((i << 40) // ranges) << 24 for i in range(1, ranges)], U))
@@ -125,9 +180,8 @@ def _first_runs(words: int, starts: int | None, least: float, levels: np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         posts, hashes, sizes, drawn, rows, held = [], [], [], [], 0, 0
         for b in _slices(batches):
-            h, row, n, hashed = _sets(b.column("w"), words, starts)
-            if sketch:
-                drawn.append(_sketches(h, row, len(n)))
+            h, row, n, hashed = _sets(b.column("w"), words, starts, scripts)
+            drawn.append(_sketches(h, row, len(n)))
             key = np.sort(row.astype(U) << U(48) | levels[(h >> U(44)).astype(np.int64)].astype(U) << U(40) | h >> U(24))
             row = (key >> U(48)).astype(np.int64)
             place = np.arange(len(key)) - (np.cumsum(n) - n)[row]
@@ -181,7 +235,7 @@ def _met(least: float) -> Callable:
             i = i[(t[i + d] == t[i]) & (size[i + d] <= most[i])]
             x = i[after[i + d] >= share * (size[i] + size[i + d])]
             x, y = g[x], g[x + d]
-            if drawn.shape[1] and len(x):
+            if len(x):
                 apart = np.concatenate([np.bitwise_count(drawn[x[k : k + 50_000]] ^ drawn[y[k : k + 50_000]]).sum(1, dtype=np.int64) for k in range(0, len(x), 50_000)])
                 fits = apart <= (n[x] + n[y]) * (1 - 2 * share) + 1e-6
                 x, y = x[fits], y[fits]
@@ -196,11 +250,11 @@ def _met(least: float) -> Callable:
     return run
 
 
-def _compared(words: int, starts: int | None, least: float) -> Callable:
+def _compared(words: int, starts: int | None, scripts: np.ndarray | None, least: float) -> Callable:
     def run(texts: pa.Table, pairs: pa.Table) -> pa.Table:
         sets: dict[int, tuple[int, np.ndarray]] = {}
         for b in texts.to_batches(max_chunksize=1_000):
-            h, _, n, hashed = _sets(b.column("w"), words, starts)
+            h, _, n, hashed = _sets(b.column("w"), words, starts, scripts)
             want, ids, end = b.column("set_hash").to_pylist(), b.column("id").to_pylist(), np.cumsum(n)
             for i, x in enumerate(hashed.view(np.int64).tolist()):
                 if x == want[i]:  # rows with equal ids may have other texts
@@ -228,27 +282,27 @@ def _compared(words: int, starts: int | None, least: float) -> Callable:
     return run
 
 
-def similar_texts(texts: DataFrame, least: float, words: int = 5, split: Callable[[Column], Column] = text.plain_words, starts: int | None = None) -> tuple[DataFrame, DataFrame]:
+def similar_texts(texts: DataFrame, least: float, words: int = 5, starts: int | None = None, all_scripts: bool = False) -> tuple[DataFrame, DataFrame]:
     """Texts with their sets, and the pairs of similar sets.
 
-    texts(id long, text string). The first: id, n, set_hash, of every text; n is the size of its set of runs of so many
+    texts(id long, text string). Words are those of text.plain_words, or of text.script_words. The first: id, n, set_hash, of every text; n is the size of its set of runs of so many
     words (of the first `starts` runs if given), and equal sets have equal hashes; where n is 0, texts that are equal have,
     and a null text has its own. The second: a, b, jaccard (a < b) of every two different sets with at least this Jaccard
     similarity, each under the least id that has it. Sets without runs match nothing. Rows without an id are left out.
     """
     spark, texts = texts.sparkSession, texts.where("id is not null").select("id", "text")
-    hashed = F.coalesce(F.transform(split(F.col("text")), lambda w: F.xxhash64(w)), F.array().cast("array<long>")).alias("w")
+    scripts, lower = script_classes(spark) if all_scripts else None, F.coalesce(F.lower("text"), F.lit("")).alias("w")
     alone = F.when(F.col("text").isNull(), F.xxhash64(F.lit("id"), "id")).otherwise(F.xxhash64(F.lit("text"), "text")).alias("alone")
-    made = materialise(texts.select("id", alone, hashed).mapInArrow(_measured(words, starts), "id long, n int, set_hash long, piece int, counts binary"))
+    made = materialise(texts.select("id", alone, lower).mapInArrow(_measured(words, starts, scripts), "id long, n int, set_hash long, piece int, counts binary"))
     rows = made.where("piece is null").select("id", "n", "set_hash")
     firsts = rows.where("n > 0").groupBy("set_hash").agg(F.min("id").alias("id"))
     levels = np.zeros((PIECES, SLOTS // PIECES), np.uint8)
     for r in made.where("piece is not null").select("piece", "counts").groupBy("piece").applyInArrow(_levels, "piece int, levels binary").collect():
         levels[r.piece] = np.frombuffer(r.levels, np.uint8)
     total = rows.agg(F.sum("n")).first()[0] or 0
-    ranges, sketch = int(total * (1 - least)) // RANGE + 3, least < 0.7
-    posts = texts.where("text is not null").select(hashed).mapInArrow(
-        _first_runs(words, starts, least, levels.ravel(), ranges, sketch), "part int, size int, tokens binary, docs binary, places binary, hashes binary, sizes binary, sketches binary"
+    ranges = int(total * (1 - least)) // RANGE + 3
+    posts = texts.where("text is not null").select(lower).mapInArrow(
+        _first_runs(words, starts, scripts, least, levels.ravel(), ranges), "part int, size int, tokens binary, docs binary, places binary, hashes binary, sizes binary, sketches binary"
     )
     met = materialise(posts.groupBy("part").applyInArrow(_met(least), "a long, b long").distinct())
     # All pairs of a neighbourhood are compared in one place, so a text is moved about once; very large ones are cut.
@@ -259,6 +313,6 @@ def similar_texts(texts: DataFrame, least: float, words: int = 5, split: Callabl
     at = materialise(at.join(cut, "g").select(F.pmod(F.xxhash64("g", F.pmod(F.xxhash64("a"), F.col("cuts"))), F.lit(buckets)).cast("int").alias("bucket"), "a", "b"))
     ends = at.select("bucket", F.col("a").alias("set_hash")).unionByName(at.select("bucket", F.col("b").alias("set_hash"))).distinct()
     need = materialise(ends.join(firsts, "set_hash"))
-    moved = join_sized(texts, need, ["id"]).repartition("bucket").select("bucket", "id", "set_hash", hashed)
-    pairs = moved.groupBy("bucket").cogroup(at.groupBy("bucket")).applyInArrow(_compared(words, starts, least), "a long, b long, jaccard double")
+    moved = join_sized(texts, need, ["id"]).repartition("bucket").select("bucket", "id", "set_hash", lower)
+    pairs = moved.groupBy("bucket").cogroup(at.groupBy("bucket")).applyInArrow(_compared(words, starts, scripts, least), "a long, b long, jaccard double")
     return rows, pairs

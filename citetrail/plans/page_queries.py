@@ -111,22 +111,14 @@ def truncate_prompt(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").where("text is not null").select("doc_id", F.length(t).alias("n_chars"), F.md5(t).alias("digest"))
 
 
-def _shingle_sets(spark: SparkSession, d: str) -> DataFrame:
-    """Different shingle sets with their least document: copies are one set."""
-    rows = load(spark, d, "documents").where("text <> ''").select("doc_id", F.array_sort(text.content_shingles(F.col("text"))).alias("items")).where(F.size("items") > 0)
-    return rows.withColumn("set_id", F.md5(F.array_join("items", "|")))
-
-
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
 def near_dup_links(spark: SparkSession, d: str) -> DataFrame:
     """set_doc, n_links: per different shingle set, by its least document, the number of other sets at a Jaccard of 0.8 or more."""
-    rows = _shingle_sets(spark, d)
-    sets = materialise(rows.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.any_value("items").alias("items")).select(F.lit(0).alias("scope"), "id", F.col("id").alias("ord"), "items"))
-    pairs = similar_sets(sets, 0.8)
-    ends = pairs.select(F.col("a").alias("set_doc")).unionByName(pairs.select(F.col("b").alias("set_doc")))
+    _, pairs = similar_texts(_texts(spark, d), 0.8)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("set_doc"))
     return ends.groupBy("set_doc").agg(F.count(F.lit(1)).alias("n_links"))
 
 

@@ -5,8 +5,12 @@ from __future__ import annotations
 import os
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from citetrail.functions import text
+from citetrail.operators import similar
 from citetrail.plans import page_queries
 
 
@@ -45,12 +49,25 @@ def test_all_pairs(spark, tmp_path):
     assert {r.set_doc: r.n_links for r in page_queries.near_dup_links(spark, d).collect()} == {i: links.count(i) for i in links} != {}
 
 
+def test_word_hashes(spark):
+    rng = random.Random(2)
+    signs = list("abcz019é\u0301 \n.-µßИ模具コートที่นี่विधि\u0e31\u1039က𠀀😀")
+    texts = ["", "Ein Überzug, 3 mm", "ab abc abcd", "ที่นี่ abc", "\u0301\u0e31\u0301a", "x" * 5_000] + ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.lower("t").alias("low"), text.plain_words(F.col("t")).alias("p"), text.script_words(F.col("t")).alias("s")).collect()
+    for scripts, name in ((None, "p"), (similar.script_classes(spark), "s")):
+        low = pa.array(["zzz"] + [r.low for r in df])[1:]
+        h, off = similar.word_hashes(low, scripts)
+        assert [len(r[name]) for r in df] == [int(b - a) for a, b in zip(off[:-1], off[1:])]
+        pairs = {(w, int(x)) for r, a in zip(df, off) for w, x in zip(r[name], h[a:])}
+        assert len(pairs) == len({w for w, _ in pairs}) == len({x for _, x in pairs})
+
+
 def bytes_moved(spark):
     stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("name", ["same_article_pairs"])
+@pytest.mark.parametrize("name", ["same_article_pairs", "near_dup_links"])
 def test_little_is_moved(spark, tmp_path, name):
     texts = families(random.Random(7), 1_500, 400, 20_000)
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
