@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citetrail.functions import dates, pages, text, urls
-from citetrail.operators.consolidate import first_per_key, leaders, similar_sets
+from citetrail.operators.consolidate import first_per_key, leaders
 from citetrail.operators.similar import similar_texts
-from citetrail.runtime import load, materialise
+from citetrail.runtime import load
 from citetrail.sources.corpus import flatten_links
 
 
@@ -128,23 +128,13 @@ def same_article_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("a").alias("set_a"), F.col("b").alias("set_b"), F.round("jaccard", 6).alias("jaccard"))
 
 
-def _script_sets(spark: SparkSession, d: str) -> DataFrame:
-    """Every document with its shingle set, as hashes, over words of all scripts. Under five words the exact text is the set; a null text is a set of its own."""
-    t = F.col("text")
-    shingles = F.coalesce(text.content_shingles(t, split=text.script_words), F.array().cast("array<string>"))
-    rows = load(spark, d, "documents").select("doc_id", "text", F.array_sort(F.transform(shingles, lambda x: F.xxhash64(x))).alias("items"))
-    whole = F.when(t.isNull(), F.concat(F.lit("id "), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("text "), F.md5(t)))
-    same = F.concat_ws(" ", F.lit("set"), F.size("items").cast("string"), F.hex(F.xxhash64("items")), F.hex(F.hash("items")))
-    return rows.select("doc_id", "items", F.when(F.size("items") > 0, same).otherwise(whole).alias("set_id"))
-
-
 def near_dup_classes(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, class_id for every document: the class is the first document greedy clustering gathers it to; texts under five words are gathered when equal."""
-    rows = materialise(_script_sets(spark, d))  # read twice
-    firsts = materialise(rows.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.any_value("items").alias("items")))
-    sets = firsts.select(F.lit(0).alias("scope"), "id", F.col("id").alias("ord"), "items")
-    lead = leaders(sets, similar_sets(sets, 0.8)).select("id", "leader")
-    return rows.select("doc_id", "set_id").join(firsts.select("set_id", "id"), "set_id").join(lead, "id").select("doc_id", F.col("leader").alias("class_id"))
+    rows, pairs = similar_texts(_texts(spark, d), 0.8, all_scripts=True)
+    key = F.struct(F.col("n") > 0, "set_hash")
+    firsts = rows.groupBy(key.alias("key")).agg(F.min("id").alias("id"))
+    lead = leaders(firsts.select(F.lit(0).alias("scope"), "id", F.col("id").alias("ord")), pairs.select(F.lit(0).alias("scope"), "a", "b")).select("id", "leader")
+    return rows.select(F.col("id").alias("doc_id"), key.alias("key")).join(firsts, "key").join(lead, "id").select("doc_id", F.col("leader").alias("class_id"))
 
 
 _URL = r"'^\s*([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^/?#@]*@)?([^/?#:\s]+)(:\d*)?([^?#]*)(\?[^#]*)?(#.*)?$'"

@@ -67,7 +67,7 @@ def bytes_moved(spark):
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("name", ["same_article_pairs", "near_dup_links"])
+@pytest.mark.parametrize("name", ["same_article_pairs", "near_dup_links", "near_dup_classes"])
 def test_little_is_moved(spark, tmp_path, name):
     texts = families(random.Random(7), 1_500, 400, 20_000)
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
