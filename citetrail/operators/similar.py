@@ -93,12 +93,10 @@ def script_classes(spark: SparkSession) -> np.ndarray:
     return out
 
 
-def _sets(column: pa.Array, words: int, starts: int | None, scripts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _sets(column: pa.Array, words: int, scripts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of texts: their different runs of words as hashes and the row of each, and by row the size and the hash of the set."""
     v, off = word_hashes(column, scripts)
     m = np.maximum(np.diff(off) - (words - 1), 0)
-    if starts:
-        m = np.minimum(m, starts)
     row = np.repeat(np.arange(len(m)), m)
     at = np.arange(len(row)) + (off[:-1] - (np.cumsum(m) - m))[row]
     h = np.zeros(len(row), U)
@@ -139,11 +137,11 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 10_000) -> Iterator[p
             yield b.slice(i, rows)
 
 
-def _measured(words: int, starts: int | None, scripts: np.ndarray | None) -> Callable:
+def _measured(words: int, scripts: np.ndarray | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, names = np.zeros(SLOTS, np.int64), ["id", "n", "set_hash", "piece", "counts"]
         for b in _slices(batches):
-            h, _, n, hashed = _sets(b.column("w"), words, starts, scripts)
+            h, _, n, hashed = _sets(b.column("w"), words, scripts)
             slot, times = np.unique(h >> U(44), return_counts=True)
             count[slot.astype(np.int64)] += times
             hashed = np.where(n > 0, hashed.view(np.int64), b.column("alone").to_numpy())
@@ -161,7 +159,7 @@ def _levels(table: pa.Table) -> pa.Table:
     return pa.table({"piece": table.column("piece")[:1], "levels": pa.array([np.minimum(8 * np.log2(total + 1), 255).astype(np.uint8).tobytes()], pa.binary())})
 
 
-def _first_runs(words: int, starts: int | None, scripts: np.ndarray | None, least: float, levels: np.ndarray, ranges: int) -> Callable:
+def _first_runs(words: int, scripts: np.ndarray | None, least: float, levels: np.ndarray, ranges: int) -> Callable:
     names, kinds = ["part", "size", "tokens", "docs", "places", "hashes", "sizes", "sketches"], (pa.int32(), pa.int32(), *[pa.binary()] * 6)
 
     def packed(posts: list[np.ndarray], hashes: list[np.ndarray], sizes: list[np.ndarray], drawn: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +178,7 @@ def _first_runs(words: int, starts: int | None, scripts: np.ndarray | None, leas
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         posts, hashes, sizes, drawn, rows, held = [], [], [], [], 0, 0
         for b in _slices(batches):
-            h, row, n, hashed = _sets(b.column("w"), words, starts, scripts)
+            h, row, n, hashed = _sets(b.column("w"), words, scripts)
             drawn.append(_sketches(h, row, len(n)))
             key = np.sort(row.astype(U) << U(48) | levels[(h >> U(44)).astype(np.int64)].astype(U) << U(40) | h >> U(24))
             row = (key >> U(48)).astype(np.int64)
@@ -250,11 +248,11 @@ def _met(least: float) -> Callable:
     return run
 
 
-def _compared(words: int, starts: int | None, scripts: np.ndarray | None, least: float) -> Callable:
+def _compared(words: int, scripts: np.ndarray | None, least: float) -> Callable:
     def run(texts: pa.Table, pairs: pa.Table) -> pa.Table:
         sets: dict[int, tuple[int, np.ndarray]] = {}
         for b in texts.to_batches(max_chunksize=1_000):
-            h, _, n, hashed = _sets(b.column("w"), words, starts, scripts)
+            h, _, n, hashed = _sets(b.column("w"), words, scripts)
             want, ids, end = b.column("set_hash").to_pylist(), b.column("id").to_pylist(), np.cumsum(n)
             for i, x in enumerate(hashed.view(np.int64).tolist()):
                 if x == want[i]:  # rows with equal ids may have other texts
@@ -282,18 +280,18 @@ def _compared(words: int, starts: int | None, scripts: np.ndarray | None, least:
     return run
 
 
-def similar_texts(texts: DataFrame, least: float, words: int = 5, starts: int | None = None, all_scripts: bool = False) -> tuple[DataFrame, DataFrame]:
+def similar_texts(texts: DataFrame, least: float, words: int = 5, all_scripts: bool = False) -> tuple[DataFrame, DataFrame]:
     """Texts with their sets, and the pairs of similar sets.
 
     texts(id long, text string). Words are those of text.plain_words, or of text.script_words. The first: id, n, set_hash, of every text; n is the size of its set of runs of so many
-    words (of the first `starts` runs if given), and equal sets have equal hashes; where n is 0, texts that are equal have,
+    words, of the whole text, and equal sets have equal hashes; where n is 0, texts that are equal have,
     and a null text has its own. The second: a, b, jaccard (a < b) of every two different sets with at least this Jaccard
     similarity, each under the least id that has it. Sets without runs match nothing. Rows without an id are left out.
     """
     spark, texts = texts.sparkSession, texts.where("id is not null").select("id", "text")
     scripts, lower = script_classes(spark) if all_scripts else None, F.coalesce(F.lower("text"), F.lit("")).alias("w")
     alone = F.when(F.col("text").isNull(), F.xxhash64(F.lit("id"), "id")).otherwise(F.xxhash64(F.lit("text"), "text")).alias("alone")
-    made = materialise(texts.select("id", alone, lower).mapInArrow(_measured(words, starts, scripts), "id long, n int, set_hash long, piece int, counts binary"))
+    made = materialise(texts.select("id", alone, lower).mapInArrow(_measured(words, scripts), "id long, n int, set_hash long, piece int, counts binary"))
     rows = made.where("piece is null").select("id", "n", "set_hash")
     firsts = rows.where("n > 0").groupBy("set_hash").agg(F.min("id").alias("id"))
     levels = np.zeros((PIECES, SLOTS // PIECES), np.uint8)
@@ -302,7 +300,7 @@ def similar_texts(texts: DataFrame, least: float, words: int = 5, starts: int |
     total = rows.agg(F.sum("n")).first()[0] or 0
     ranges = int(total * (1 - least)) // RANGE + 3
     posts = texts.where("text is not null").select(lower).mapInArrow(
-        _first_runs(words, starts, scripts, least, levels.ravel(), ranges), "part int, size int, tokens binary, docs binary, places binary, hashes binary, sizes binary, sketches binary"
+        _first_runs(words, scripts, least, levels.ravel(), ranges), "part int, size int, tokens binary, docs binary, places binary, hashes binary, sizes binary, sketches binary"
     )
     met = materialise(posts.groupBy("part").applyInArrow(_met(least), "a long, b long").distinct())
     # All pairs of a neighbourhood are compared in one place, so a text is moved about once; very large ones are cut.
@@ -314,5 +312,5 @@ def similar_texts(texts: DataFrame, least: float, words: int = 5, starts: int |
     ends = at.select("bucket", F.col("a").alias("set_hash")).unionByName(at.select("bucket", F.col("b").alias("set_hash"))).distinct()
     need = materialise(ends.join(firsts, "set_hash"))
     moved = join_sized(texts, need, ["id"]).repartition("bucket").select("bucket", "id", "set_hash", lower)
-    pairs = moved.groupBy("bucket").cogroup(at.groupBy("bucket")).applyInArrow(_compared(words, starts, scripts, least), "a long, b long, jaccard double")
+    pairs = moved.groupBy("bucket").cogroup(at.groupBy("bucket")).applyInArrow(_compared(words, scripts, least), "a long, b long, jaccard double")
     return rows, pairs

@@ -123,8 +123,8 @@ def near_dup_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def same_article_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """set_a, set_b, jaccard: different articles that are the same by runs of three words, of the first 2,000, at a Jaccard of 0.5 or more; copies are one set, by the least document."""
-    _, pairs = similar_texts(_texts(spark, d), 0.5, 3, starts=2_000)
+    """set_a, set_b, jaccard: different articles that are the same by runs of three words, over whole texts, at a Jaccard of 0.5 or more; copies are one set, by the least document."""
+    _, pairs = similar_texts(_texts(spark, d), 0.5, 3)
     return pairs.select(F.col("a").alias("set_a"), F.col("b").alias("set_b"), F.round("jaccard", 6).alias("jaccard"))
 
 
@@ -158,12 +158,12 @@ _SHINGLES = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda w: length(w) > 2) AS w FROM documents WHERE text IS NOT NULL),
 sh AS (SELECT doc_id, CASE WHEN len(w) < 5 THEN [] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM d)
 """
-def _sets_sql(words: str, kept: str, run: int, starts: str, least: float) -> str:
+def _sets_sql(words: str, kept: str, run: int, least: float) -> str:
     """CTEs to alike(a, b, k, an, bn): pairs of different shingle sets of documents, both ways, by the least document; under `run` words the exact text is the set."""
     return f"""
 WITH d AS (SELECT doc_id, text, list_filter({words}, lambda w: {kept}) AS w FROM documents),
 sh AS (SELECT doc_id, s, CASE WHEN len(s) > 0 THEN md5(array_to_string(s, '|')) WHEN text IS NULL THEN 'id ' || doc_id ELSE 'text ' || md5(text) END AS key
-  FROM (SELECT doc_id, text, CASE WHEN w IS NULL OR len(w) < {run} THEN [] ELSE list_sort(list_distinct(list_transform(range(1, {starts}), lambda i: array_to_string(w[i:i+{run - 1}], ' ')))) END AS s FROM d)),
+  FROM (SELECT doc_id, text, CASE WHEN w IS NULL OR len(w) < {run} THEN [] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {run - 2}), lambda i: array_to_string(w[i:i+{run - 1}], ' ')))) END AS s FROM d)),
 st AS (SELECT key, min(doc_id) AS id, any_value(s) AS s FROM sh GROUP BY 1), e AS (SELECT id, len(s) AS n, unnest(s) AS x FROM st),
 alike AS (SELECT * FROM (SELECT a.id AS a, b.id AS b, count(*) AS k, any_value(a.n) AS an, any_value(b.n) AS bn FROM e a JOIN e b ON a.x = b.x AND a.id <> b.id GROUP BY 1, 2) WHERE k / (an + bn - k) >= {least} - 1e-12)"""
 
@@ -258,7 +258,7 @@ SQL = {
     + """, st AS (SELECT list_sort(s) AS s, min(doc_id) AS id FROM sh WHERE len(s) > 0 GROUP BY 1), e AS (SELECT id, len(s) AS n, unnest(s) AS x FROM st),
       c AS (SELECT a.id AS a, b.id AS b, count(*) AS k, any_value(a.n) AS an, any_value(b.n) AS bn FROM e a JOIN e b ON a.x = b.x AND a.id <> b.id GROUP BY 1, 2)
       SELECT a AS set_doc, count(*) AS n_links FROM c WHERE k / (an + bn - k) >= 0.8 - 1e-12 GROUP BY 1""",
-    "same_article_pairs": _sets_sql("regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+')", "length(w) > 2", 3, "least(len(w) - 1, 2001)", 0.5)
+    "same_article_pairs": _sets_sql("regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+')", "length(w) > 2", 3, 0.5)
     + " SELECT a AS set_a, b AS set_b, round(k / (an + bn - k), 6) AS jaccard FROM alike WHERE a < b",
 }
 

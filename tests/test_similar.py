@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import random
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,27 @@ def test_all_pairs(spark, tmp_path):
     assert {r.set_doc: r.n_links for r in page_queries.near_dup_links(spark, d).collect()} == {i: links.count(i) for i in links} != {}
 
 
+def test_whole_texts(spark, tmp_path):
+    """Long texts are the same by all of their runs, not by those of the beginning."""
+    rng = random.Random(11)
+    part = lambda n: " ".join(f"word{rng.randrange(100_000)}" for _ in range(n))
+    begin, rest = part(2_100), part(6_000)
+    texts = [f"{begin} {part(5_000)}", f"{begin} {part(5_000)}", f"{part(2_100)} {rest}", f"{part(2_100)} {rest}", f"{begin} {rest}", f"{begin} {rest} {part(9)}"]
+    rows = list(enumerate(texts + families(rng, 4, 4_000, 100_000) + families(rng, 40, 60, 400)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    d, want = str(tmp_path), {}
+    for least, words in ((0.8, 5), (0.5, 3)):
+        s = sets(rows, words)
+        want[words] = {(min(a, b), max(a, b)): round(len(x & y) / len(x | y), 6) for k, (a, x) in enumerate(s) for b, y in s[:k] if len(x & y) / len(x | y) >= least}
+    assert {(2, 3), (2, 4), (2, 5), (3, 4), (3, 5), (4, 5)} <= set(want[3]) and (0, 1) not in want[3]
+    assert {(r.set_a, r.set_b): r.jaccard for r in page_queries.same_article_pairs(spark, d).collect()} == want[3]
+    links = [i for p in want[5] for i in p]
+    assert {r.set_doc: r.n_links for r in page_queries.near_dup_links(spark, d).collect()} == {i: links.count(i) for i in links} != {}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet/*.parquet'")
+    assert {(a, b): j for a, b, j in con.sql(page_queries.SQL["same_article_pairs"]).fetchall()} == want[3]
+
+
 def test_word_hashes(spark):
     rng = random.Random(2)
     signs = list("abcz019é\u0301 \n.-µßИ模具コートที่นี่विधि\u0e31\u1039က𠀀😀")
